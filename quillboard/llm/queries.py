@@ -7,13 +7,49 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillboard.llm import exact_dedup, sharding, url_rules
+from quillboard.llm import exact_dedup, langid, quality_crf, sharding, toxicity, url_rules
+from quillboard.llm.common import crc_fold
+from quillboard.llm.fitting import labelled
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; fold 2 of 4 (by crc32 of the id) is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; fold 1 of 3 is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    sample = labelled(docs, table(spark, sf_dir, "labels"), "quality", 3000, crc_fold(F.col("__qb_id"), 3) != 1)
+    scored = quality_crf.predict(docs.select("doc_id", "text"), quality_crf.fit(sample))
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "good_lines", "lines")
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from folds 0 and 2 of 3."""
+    return toxicity.fit(labelled(docs, labels, "toxic", 4000, crc_fold(F.col("__qb_id"), 3) != 1))
+
+
+#: Score from which a text counts as toxic.
+TOXIC = 0.7
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; fold 1 of 3 is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.predict(docs.select("doc_id", "text"), toxicity_model(docs, table(spark, sf_dir, "labels")))
+    held_out = crc_fold(F.col("doc_id"), 3) == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into shards 0 to 39 under the law `rows`."""
     text = F.col("text").cast("binary")
@@ -41,7 +77,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
 }
