@@ -53,6 +53,31 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 60, balanced: bool = True)
     return a / sd, b - a * mu / sd
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
+    """Weights of a logistic curve over the columns of x (the last is a constant); both classes weigh the same.
+
+    Columns are scaled, the ridge draws weights (not the constant) to 0.
+    """
+    mu, sd = x.mean(axis=0), x.std(axis=0)
+    mu[-1], sd = 0.0, np.where(sd > 1e-9, sd, 1.0)
+    z = (x - mu) / sd
+    n1, n0 = float((y == 1).sum()), float((y == 0).sum())
+    cost = np.where(y == 1, max(1.0, n0 / max(n1, 1.0)), max(1.0, n1 / max(n0, 1.0)))
+    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    pull = np.full(x.shape[1], ridge)
+    pull[-1] = 1e-3
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        g = z.T @ (cost * (p - t)) + pull * w
+        h = (z * (cost * (p * (1 - p) + 1e-9))[:, None]).T @ z + np.diag(pull)
+        move = np.linalg.solve(h, g)
+        w = w - move * min(1.0, 2.0 / (np.abs(move).max() + 1e-12))
+    w = w / sd
+    w[-1] -= float(mu @ w)
+    return w
+
+
 def draw(df: DataFrame, text_col: str, label_col: str, max_rows: int, max_chars: int, seed: int) -> tuple[list[str], list[int]]:
     """About `max_rows` labelled texts of each class at most, by a hash of the text."""
     rows = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).where(F.col("text").isNotNull() & F.col("label").isin(0, 1) & (F.length("text") <= max_chars))

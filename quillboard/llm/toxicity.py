@@ -1,11 +1,12 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word that repeats the one before it counts once, and a window shorter than half of `window` is averaged
-as if it were that long. A word's vector is the mean of the vectors of its hashed character 3- to 5-grams (boundaries included)
+as if it were that long. A word's vector is the mean of the vectors of its hashed character 3- to 6-grams (boundaries included)
 and of the word itself, so unseen spellings share the vectors of their parts. The words of a window of
-`window` words are averaged and go through a linear softmax of two classes; a text is as toxic as its
-most toxic window, so a few words count in a long text as in a short one. Embeddings and softmax are
-trained together by stochastic gradients on each training text's most toxic window (and, for clean
+`window` words are averaged and go through a linear softmax of two classes; a small logistic
+curve over a text's four highest window logits and its number of windows gives the score, so a few words
+count in a long text as in a short one. Embeddings and softmax are
+trained together by stochastic gradients on each training text's most toxic windows (and, for clean
 texts, a random one more); they start from the grams' log-odds in toxic and clean texts.
 
 For scoring, each embedding is multiplied by the softmax weights beforehand: averages are linear, so
@@ -13,8 +14,8 @@ the scalar of a bucket gives the same logit as its vector.
 
 Learning draws at most `max_rows` labelled texts of each class, none longer than `max_chars`, by a hash
 of the text; nothing else is bounded. Texts beyond a million characters are cut at spaces, and windows
-restart there. Null, empty and letterless texts have no window and score as the median
-clean text. Without both classes in training every score is 0. Repeated rows score alike; extra
+restart there. Null, empty and letterless texts have no window and score as a
+text of neutral windows. Without both classes in training every score is 0. Repeated rows score alike; extra
 columns are carried; a column named score is replaced.
 """
 
@@ -27,10 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillboard.llm.fitting import draw, platt
+from quillboard.llm.fitting import draw, logistic
 from quillboard.llm.textnp import gram_hashes, joined, letter_table, map_texts, text_blocks
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
+#: Windows of a text that its score is made of.
+TOP = 4
 BITS = 16
 WORDS = 1 << BITS  # word buckets follow the gram buckets
 
@@ -39,10 +42,9 @@ WORDS = 1 << BITS  # word buckets follow the gram buckets
 class ToxicityModel:
     scalars: np.ndarray  # gram buckets, then word buckets; float64
     bias: float
-    slope: float
-    shift: float
     window: int
-    empty: float = 0.0  # what a text without words has in place of its highest window
+    pooling: np.ndarray | None  # weights of the TOP highest logits, of log(1 + windows), and a constant
+    neutral: float = 0.0  # the logit in place of a window that a short text lacks
 
 
 def split_words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,23 +116,41 @@ def window_logits(texts: list[str | None], scalars: np.ndarray, size: int) -> It
         yield rows[piece], np.add.reduceat(word, starts) / np.maximum(np.diff(starts, append=n), size // 2)
 
 
+def highest(row: np.ndarray, value: np.ndarray, n: int, into: np.ndarray) -> None:
+    """Merge values of rows 0..n-1 into `into` (n x TOP, descending)."""
+    order = np.lexsort((-value, row))
+    row, value = row[order], value[order]
+    first = np.searchsorted(row, np.arange(n))
+    rank = np.arange(len(row)) - first[row]
+    take = rank < TOP
+    new = np.full((n, TOP), -np.inf)
+    new[row[take], rank[take]] = value[take]
+    into[:] = -np.sort(-np.concatenate([into, new], axis=1), axis=1)[:, :TOP]
+
+
+def pool(model: ToxicityModel, top: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Features of texts: the highest window logits, the number of windows, a constant."""
+    z = np.where(np.isfinite(top), top + model.bias, model.neutral)
+    return np.column_stack([np.clip(z, -30, 30), np.log1p(many), np.ones(len(z))])
+
+
 def score_texts(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
-    if model.slope == 0:
+    if model.pooling is None:
         return np.zeros(len(texts))
-    top = np.full(len(texts), -np.inf)
+    top, many = np.full((len(texts), TOP), -np.inf), np.zeros(len(texts))
     for rows, mean in window_logits(texts, model.scalars, model.window):
-        np.maximum.at(top, rows, mean)
-    top = np.where(np.isfinite(top), top, model.empty) + model.bias
-    return 1 / (1 + np.exp(-np.clip(model.slope * top + model.shift, -60, 60)))
+        highest(rows, mean, len(texts), top)
+        many += np.bincount(rows, minlength=len(texts))
+    return 1 / (1 + np.exp(-np.clip(pool(model, top, many) @ model.pooling, -60, 60)))
 
 
-def train(texts: list[str], toxic: list[int], window: int = 8, dim: int = 12, epochs: int = 10, rate: float = 0.5, seed: int = 5) -> ToxicityModel:
+def train(texts: list[str], toxic: list[int], window: int = 2, dim: int = 12, epochs: int = 10, rate: float = 0.3, min_docs: int = 3, seed: int = 5) -> ToxicityModel:
     """Fit embeddings and softmax; a fifth of the texts is held back to calibrate the score."""
     rng = np.random.default_rng(seed)
     y = np.asarray(toxic, dtype=np.int64)
     size = 2 * WORDS
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(size), 0.0, 0.0, 0.0, window)
+        return ToxicityModel(np.zeros(size), 0.0, window, None)
     # words of all texts by number; the grams of each distinct word once
     owners, wholes, known, of_known, bucket_known, have = [], [], [], [], [], 0
     for rows, pieces in text_blocks(texts):
@@ -146,7 +166,7 @@ def train(texts: list[str], toxic: list[int], window: int = 8, dim: int = 12, ep
         bucket_known.append(bucket)
         have += len(distinct)
     if not owners:
-        return ToxicityModel(np.zeros(size), 0.0, 0.0, 0.0, window)
+        return ToxicityModel(np.zeros(size), 0.0, window, None)
     owner, known = np.concatenate(owners), np.concatenate(known)
     words, once = np.unique(known, return_index=True)
     number = np.full(len(known), -1)
@@ -164,7 +184,7 @@ def train(texts: list[str], toxic: list[int], window: int = 8, dim: int = 12, ep
     ends = np.append(starts[1:], base)
     divisor = np.maximum(ends - starts, window // 2)
 
-    held = rng.random(len(y)) < 0.2
+    held = rng.random(len(y)) < 0.25
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
     learn = ~held
@@ -179,11 +199,13 @@ def train(texts: list[str], toxic: list[int], window: int = 8, dim: int = 12, ep
             seen[y[d], np.unique(bucket[at])] += 1
     n = np.array([(learn & (y == k)).sum() for k in (0, 1)])[:, None] + 1.0
     odds = np.log(seen[1] / n[1]) - np.log(seen[0] / n[0])
-    odds *= seen.sum(axis=0) / (seen.sum(axis=0) + 4)  # buckets seen seldom stay near 0
+    known = seen.sum(axis=0) - 1
+    odds *= known / (known + 4)
+    known = known >= min_docs  # what fewer texts hold would be learned by heart; it stays at 0
 
     direction = rng.normal(size=dim)
     direction /= np.linalg.norm(direction)
-    vectors = rng.normal(scale=0.05, size=(size, dim)) + odds[:, None] * direction
+    vectors = (rng.normal(scale=0.05, size=(size, dim)) + odds[:, None] * direction) * known[:, None]
     softmax = np.stack([-direction, direction], axis=1)  # dim x 2
     bias = np.zeros(2)
     squares_v, squares_w, squares_b = np.full(size, 1e-6), np.full_like(softmax, 1e-6), np.full(2, 1e-6)
@@ -199,12 +221,19 @@ def train(texts: list[str], toxic: list[int], window: int = 8, dim: int = 12, ep
     for epoch in range(epochs):
         mean = means()
         pick, label, share = [], [], []
+        order = np.lexsort((-mean, doc))
         for d in has:
             a, b = by_doc[d], by_doc[d + 1]
-            pick.append(a + int(mean[a:b].argmax()))
-            label.append(y[d])
-            share.append(weight[d])
-            if y[d] == 0 and b - a > 1:
+            best = order[a : min(a + TOP, b)]  # windows of a text stand together
+            pick.extend(best)
+            label.extend([y[d]] * len(best))
+            if y[d] == 1:  # the first counts in full, the others as far as they look toxic already
+                z = mean[best] + bias[1] - bias[0]
+                belief = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+                belief[0] = 1.0
+                share.extend(weight[d] * belief)
+            else:
+                share.extend([weight[d] / len(best)] * len(best))
                 pick.append(int(rng.integers(a, b)))
                 label.append(0)
                 share.append(weight[d] / 2)
@@ -236,15 +265,15 @@ def train(texts: list[str], toxic: list[int], window: int = 8, dim: int = 12, ep
             squares_v[ids] += (g_v**2).mean(axis=1)
             softmax -= step * 0.1 * g_w / np.sqrt(squares_w)
             bias -= step * 0.1 * g_b / np.sqrt(squares_b)
-            vectors[ids] -= step * g_v / np.sqrt(squares_v[ids])[:, None]
+            vectors[ids] -= step * known[ids, None] * g_v / np.sqrt(squares_v[ids])[:, None]
     scalars = vectors @ (softmax[:, 1] - softmax[:, 0])
-    model = ToxicityModel(scalars, float(bias[1] - bias[0]), 1.0, 0.0, window)
+    model = ToxicityModel(scalars, float(bias[1] - bias[0]), window, None)
     mean = means()
-    on = held if held.any() else learn
-    on = np.flatnonzero(on & (np.diff(by_doc) > 0))
-    top = np.array([mean[by_doc[d] : by_doc[d + 1]].max() for d in on]) + model.bias
-    model.slope, model.shift = platt(top, y[on])
-    model.empty = float(np.median(top[y[on] == 0]) - model.bias)
+    model.neutral = float(np.median(mean[y[doc] == 0]) + model.bias) if (y[doc] == 0).any() else model.bias
+    on = np.flatnonzero(held if held.any() else learn)
+    top = np.full((len(y), TOP), -np.inf)
+    highest(doc, mean, len(y), top)
+    model.pooling = logistic(pool(model, top[on], np.diff(by_doc)[on]), y[on])
     return model
 
 
