@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillboard.llm import exact_dedup, langid, quality_crf, sharding, toxicity, url_rules
+from quillboard.llm import exact_dedup, langid, minhash, quality_crf, sharding, toxicity, url_rules
 from quillboard.llm.common import crc_fold
 from quillboard.llm.fitting import labelled
 
@@ -62,6 +62,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 4-word shingles, similarity 0.8 or more."""
+    return minhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4, percent=80)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op7_toxicity": op7_toxicity,
+    "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_url_filters": op10_url_filters,
 }
