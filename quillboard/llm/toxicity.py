@@ -151,35 +151,30 @@ def train(texts: list[str], toxic: list[int], window: int = 2, dim: int = 12, ep
     size = 2 * WORDS
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(size), 0.0, window, None)
-    # words of all texts by number; the grams of each distinct word once
-    owners, wholes, known, of_known, bucket_known, have = [], [], [], [], [], 0
+    # words of all texts by number; the grams of each distinct word once, in the order of their words
+    owners, wholes, words, buckets, counts = [], [], [], [], []
+    known = np.zeros(0, np.uint64)
     for rows, pieces in text_blocks(texts):
         owner, whole, layout = split_words(pieces)
         if not len(owner):
             continue
         distinct, at = np.unique(whole, return_index=True)
-        of, bucket = grams_of(layout, whole, at)
-        owners.append(rows[owner])
+        new = ~np.isin(distinct, known, assume_unique=True)
+        of, bucket = grams_of(layout, whole, at[new])
+        buckets.append(bucket[np.argsort(of, kind="stable")])
+        counts.append(np.bincount(of, minlength=int(new.sum())).astype(np.int32))
+        owners.append(rows[owner].astype(np.int32))
         wholes.append(whole)
-        known.append(distinct)
-        of_known.append(of + have)
-        bucket_known.append(bucket)
-        have += len(distinct)
+        words.append(distinct[new])
+        known = np.union1d(known, distinct[new])
     if not owners:
         return ToxicityModel(np.zeros(size), 0.0, window, None)
-    owner, known = np.concatenate(owners), np.concatenate(known)
-    words, once = np.unique(known, return_index=True)
-    number = np.full(len(known), -1)
-    number[once] = np.arange(len(words))
-    of, bucket = number[np.concatenate(of_known)], np.concatenate(bucket_known)
-    order = np.argsort(of, kind="stable")
-    order = order[of[order] >= 0]
-    of, bucket = of[order], bucket[order]
-    per_word = np.bincount(of, minlength=len(words))
+    owner, words, bucket, per_word = (np.concatenate(x) for x in (owners, words, buckets, counts))
+    by_name = np.argsort(words)
+    word_of = np.concatenate([by_name[np.searchsorted(words, x, sorter=by_name)].astype(np.int32) for x in wholes])
     first_gram = np.concatenate([[0], np.cumsum(per_word)])
-    word_of = np.searchsorted(words, np.concatenate(wholes))
     base = len(word_of)
-    del owners, wholes, known, of_known, bucket_known, order, number, of
+    del owners, wholes, buckets, counts, known, words
     starts, doc = windows(owner, window)
     ends = np.append(starts[1:], base)
     divisor = np.maximum(ends - starts, window // 2)
