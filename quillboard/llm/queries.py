@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillboard.llm import exact_dedup, langid, minhash, quality_crf, sharding, toxicity, url_rules
+from quillboard.llm import exact_dedup, langid, minhash, quality_crf, sharding, topk_norm, toxicity, url_rules
 from quillboard.llm.common import crc_fold
 from quillboard.llm.fitting import labelled
 
@@ -38,6 +38,12 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel
     return toxicity.fit(labelled(docs, labels, "toxic", 4000, crc_fold(F.col("__qb_id"), 3) != 1))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for every 50th vector, against all rows."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk_norm.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
 #: Score from which a text counts as toxic.
 TOXIC = 0.7
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op4_topk": op4_topk,
     "op7_toxicity": op7_toxicity,
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
@@ -92,6 +99,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op4_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
     "op9_exact_dedup": """
         WITH g AS (
             SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size
