@@ -11,13 +11,17 @@ postings but for a chance below `miss` (matches is derived from it). From there
 
 - skip: postings under which no other node stands cannot collide, and a node with fewer than `matches`
   shared postings has no partner; both leave at once;
-- stars: under every posting the smallest node is paired with the others (as many pairs as postings, no
-  matter how many nodes stand there); pairs that collide often are verified, and the links found merge
-  a large group of copies into one component;
+- bound: shingles that no other node left holds are in no intersection; a node with too many of them has
+  no partner, and a pair with too many is not made;
+- stars: under every posting the node with the fewest such shingles, as a share, is paired with the others
+  (as many pairs as postings, no matter how many nodes stand there); pairs that collide often are
+  verified, and the links found merge a large group of copies into one component;
 - prefix: what could still join two components is found by prefix merging: a node's shared postings are
   ordered from rare to common, and of m of them only the first m - matches + 1 are joined, because two
   nodes with `matches` postings in common share one of those; collisions are counted on the signatures,
-  pairs above the threshold are verified. Pairs inside one component are never made.
+  pairs above the threshold are verified. Pairs inside one component are never made;
+- blocks: a node that shares a prefix posting with a component of LARGE members or more meets all its
+  members, sets packed into blocks of bounded size, so that no pair becomes a row.
 
 No list, group or component is gathered in a task or on the driver: lists are joined by key, counts are
 pre-aggregated, components come from star rounds over the edge table. Nothing is capped.
@@ -44,6 +48,9 @@ from quillboard.llm.components import connected_components
 
 BLOCK_BYTES = 1 << 19
 BROADCAST_IDS = 1_000_000
+#: Components from so many members on are compared with other nodes in blocks.
+LARGE = 64
+BLOCK_ELEMENTS = 100_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -206,29 +213,96 @@ def links(df: DataFrame, id_col: str, text_col: str, classes: DataFrame, size: i
     wanted = cut(classes.join(maybe_broadcast(alive.select("node"), n), "node").select("node", "key", "rep"))
     sets = cut(full_sets(df, id_col, text_col, size, wanted, n))
 
-    hubs = postings.groupBy("token").agg(F.min("node").alias("a"))
-    stars = postings.select("token", F.col("node").alias("b")).join(hubs, "token").where("a < b")
+    # a shingle that no other node holds is in no intersection: an exact bound on any partner's similarity
+    own = sets.select("node", F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1")
+    own = own.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    sized = sets.select("node", F.size("set").cast("bigint").alias("n")).join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    sized = cut(sized.where(F.col("common") * 100 >= F.col("n") * percent))
+    n = sized.count()
+    postings = cut(postings.join(maybe_broadcast(sized, n), "node"))
+
+    first = postings.groupBy("token").agg(F.min(F.struct((1 - F.col("common") / F.col("n")).alias("own"), "node")).alias("hub"))
+    stars = postings.select("token", F.col("node").alias("b")).join(first.select("token", F.col("hub.node").alias("a")), "token").where("a <> b")
     stars = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= max(1, matches // 3))
     found = cut(_verified(stars, sets, percent))
     merged = cut(connected_components(found, "a", "b"))
+    large = cut(merged.groupBy("component").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= LARGE).select("component"))
 
     rare = Window.partitionBy("node").orderBy("c", "token")
     prefix = postings.withColumn("rank", F.row_number().over(rare)).where(F.col("rank") <= F.col("m") - matches + 1)
-    prefix = cut(prefix.select("node", "token").join(merged, "node", "left").select("node", "token", F.coalesce("component", "node").alias("component")))
+    prefix = prefix.select("node", "token", "n", "common").join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    prefix = cut(prefix.join(large.withColumn("large", F.lit(True)), "component", "left").withColumn("large", F.coalesce("large", F.lit(False))))
     open_lists = prefix.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     prefix = cut(prefix.join(open_lists, "token"))
-    left = prefix.select("token", F.col("node").alias("a"), F.col("component").alias("ca"))
-    right = prefix.select("token", F.col("node").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "token").where("a < b AND ca <> cb").select("a", "b").distinct()
+
+    # between small components: pairs that the bounds leave, each made under the first posting they share
+    heads = prefix.where("NOT large")
+    heads = heads.join(heads.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens")), "node")  # at most `coordinates`
+    left = heads.select("token", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("common").alias("ka"), F.col("tokens").alias("ta"))
+    right = heads.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("common").alias("kb"), F.col("tokens").alias("tb"))
+    bound = F.least("ka", "kb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    earliest = F.array_min(F.array_intersect("ta", "tb")) == F.col("token")
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & bound & earliest).select("a", "b")
     sig = classes.select("node", "sig")
     agree = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda t, x: t + x)
     pairs = pairs.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b").where(agree >= matches).select("a", "b")
     rest = cut(_verified(pairs, sets, percent))
+    if not large.isEmpty():
+        rest = cut(rest.unionByName(_against_large(prefix, merged.join(large, "component"), sets, percent)))
     if rest.isEmpty():
         return None if merged.isEmpty() else merged
     return cut(connected_components(merged.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(rest), "a", "b"))
 
 
+def _against_large(prefix: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes and large components of which they share a posting, block against block.
+
+    A node meets every member of the component, but no pair becomes a row: sets are packed into blocks of
+    about BLOCK_ELEMENTS shingles, and a node gives one link to the component at most.
+    """
+    inside = prefix.where("large").select("token", F.col("component").alias("whole")).distinct()
+    meets = prefix.join(inside, "token").where((F.col("component") != F.col("whole")) & (~F.col("large") | (F.col("component") > F.col("whole"))))
+    meets = cut(meets.select("whole", "node").distinct())
+
+    def packed(pairs: DataFrame, name: str) -> DataFrame:
+        held = pairs.join(sets, "node")
+        many = held.groupBy("whole").agg(F.ceil(F.sum(F.size("set").cast("bigint")) / BLOCK_ELEMENTS).alias("blocks"))
+        held = held.join(many, "whole").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+        return held.groupBy("whole", "block").agg(F.collect_list(F.struct("node", "set")).alias(name)).drop("block")
+
+    blocks = packed(meets, "outside").join(packed(members.select(F.col("component").alias("whole"), "node"), "inside"), "whole")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for row in range(batch.num_rows):
+                nodes, flat, starts = _unpacked(batch.column(0), row)
+                known, place = np.unique(flat, return_inverse=True)
+                sizes = np.diff(starts, append=len(flat))
+                theirs, other, begin = _unpacked(batch.column(1), row)
+                for node, one in zip(theirs, np.split(other, begin[1:]), strict=True):
+                    at = np.minimum(np.searchsorted(known, one), len(known) - 1)
+                    mark = np.zeros(len(known), dtype=np.int64)
+                    mark[at[known[at] == one]] = 1
+                    both = np.add.reduceat(mark[place], starts)
+                    linked = np.flatnonzero(both * 100 >= (sizes + len(one) - both) * percent)
+                    if len(linked):
+                        a.append(int(nodes[linked[0]]))
+                        b.append(int(node))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return small_batches(blocks.select("inside", "outside")).mapInArrow(compare, "a bigint, b bigint")
+
+
+def _unpacked(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, their sets in a row, first element of each set) of one list of (node, set)."""
+    offsets = column.offsets
+    items = column.values.slice(offsets[row].as_py(), offsets[row + 1].as_py() - offsets[row].as_py())
+    sets = items.field(1)
+    bounds = sets.offsets.to_numpy()
+    return items.field(0).to_numpy(), sets.values.to_numpy()[bounds[0] : bounds[-1]], (bounds - bounds[0])[:-1]
+
+
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, coordinates: int = 64, miss: float = 1e-5, seed: int = 17) -> DataFrame:
     """One row per input row: `id_col`, n_shingles, component_id, kept."""
     matches = least_matches(coordinates, percent, miss)
