@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillboard.llm import exact_dedup, langid, minhash, quality_crf, sharding, topk_norm, toxicity, url_rules
+from quillboard.llm import exact_dedup, langid, minhash, mixing, quality_crf, sharding, topk_norm, toxicity, unigram, url_rules
 from quillboard.llm.common import crc_fold
 from quillboard.llm.fitting import labelled
 
@@ -44,6 +44,21 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_norm.top_k(vectors, F.col("vec_id") % 50 == 0, k=5, scale=256.0)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampling probability and decision of every document: 60 % of the tokens, shares to the power 0.85."""
+    return mixing.decisions(table(spark, sf_dir, "documents"), budget_share=0.6, alpha=0.85)
+
+
+#: A public model file; a parameter of the operator.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether they decode to it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.encode_column(docs, unigram.build(MODEL_PATH)).select("doc_id", "n_tokens", "n_byte_tokens", "round_trip", "ids")
+
+
 #: Score from which a text counts as toxic.
 TOXIC = 0.7
 
@@ -92,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op4_topk": op4_topk,
+    "op5_mixing": op5_mixing,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_toxicity": op7_toxicity,
     "op8_minhash": op8_minhash,
     "op9_exact_dedup": op9_exact_dedup,
