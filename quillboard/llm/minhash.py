@@ -264,13 +264,19 @@ def _against_large(prefix: DataFrame, members: DataFrame, sets: DataFrame, perce
     meets = prefix.join(inside, "token").where((F.col("component") != F.col("whole")) & (~F.col("large") | (F.col("component") > F.col("whole"))))
     meets = cut(meets.select("whole", "node").distinct())
 
-    def packed(pairs: DataFrame, name: str) -> DataFrame:
+    def packed(pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Blocks of each component's sets, and how many there are."""
         held = pairs.join(sets, "node")
-        many = held.groupBy("whole").agg(F.ceil(F.sum(F.size("set").cast("bigint")) / BLOCK_ELEMENTS).alias("blocks"))
-        held = held.join(many, "whole").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-        return held.groupBy("whole", "block").agg(F.collect_list(F.struct("node", "set")).alias(name)).drop("block")
-
-    blocks = packed(meets, "outside").join(packed(members.select(F.col("component").alias("whole"), "node"), "inside"), "whole")
+        many = cut(held.groupBy("whole").agg(F.ceil(F.sum(F.size("set").cast("bigint")) / BLOCK_ELEMENTS).cast("int").alias("blocks")))
+        few = maybe_broadcast(many, many.count())  # one row for each large component
+        held = held.join(few, "whole").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        return held.groupBy("whole", "block").agg(F.collect_list(F.struct("node", "set")).alias(name)), few
+
+    # every block of members is sent to each block of other nodes: the work is dealt by (component, block)
+    outside, parts = packed(meets, "outside")
+    inside, _ = packed(members.select(F.col("component").alias("whole"), "node"), "inside")
+    sent = inside.drop("block").join(parts, "whole").select("whole", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "inside")
+    blocks = outside.join(sent, ["whole", "block"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
