@@ -53,11 +53,23 @@ def platt(x: np.ndarray, y: np.ndarray, steps: int = 60, balanced: bool = True)
     return a / sd, b - a * mu / sd
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, rising: int = 0, ridge: float = 0.3, steps: int = 60) -> np.ndarray:
     """Weights of a logistic curve over the columns of x (the last is a constant); both classes weigh the same.
 
-    Columns are scaled, the ridge draws weights (not the constant) to 0.
+    Columns are scaled, the ridge draws weights (not the constant) to 0. Of the first `rising` columns,
+    those whose weight would be negative are left out, one after another.
     """
+    use = list(range(x.shape[1]))
+    while True:
+        w = np.zeros(x.shape[1])
+        w[use] = _newton(x[:, use], y, ridge, steps)
+        low = [k for k in use if k < rising and w[k] < 0]
+        if not low:
+            return w
+        use.remove(min(low, key=lambda k: w[k]))
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
     mu, sd = x.mean(axis=0), x.std(axis=0)
     mu[-1], sd = 0.0, np.where(sd > 1e-9, sd, 1.0)
     z = (x - mu) / sd

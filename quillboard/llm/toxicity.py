@@ -34,6 +34,8 @@ from quillboard.llm.textnp import gram_hashes, joined, letter_table, map_texts,
 ORDERS = (3, 4, 5, 6)
 #: Windows of a text that its score is made of.
 TOP = 4
+#: Toxic texts that the held-back part must hold for the curve to be fitted on it alone.
+FEW = 30
 BITS = 16
 WORDS = 1 << BITS  # word buckets follow the gram buckets
 
@@ -265,10 +267,11 @@ def train(texts: list[str], toxic: list[int], window: int = 2, dim: int = 12, ep
     model = ToxicityModel(scalars, float(bias[1] - bias[0]), window, None)
     mean = means()
     model.neutral = float(np.median(mean[y[doc] == 0]) + model.bias) if (y[doc] == 0).any() else model.bias
-    on = np.flatnonzero(held if held.any() else learn)
+    # a curve over few toxic texts is fitted on all of them
+    on = np.flatnonzero(held if y[held].sum() >= FEW else np.ones(len(y), dtype=bool))
     top = np.full((len(y), TOP), -np.inf)
     highest(doc, mean, len(y), top)
-    model.pooling = logistic(pool(model, top[on], np.diff(by_doc)[on]), y[on])
+    model.pooling = logistic(pool(model, top[on], np.diff(by_doc)[on]), y[on], rising=TOP)
     return model
 
 
