@@ -14,7 +14,8 @@ not values, are dealt, no key, source or group of copies makes one task larger t
 
 The rows are written once to the shared checkpoint folder, so that a task that is run again sees the
 same places. Edge cases: an empty table gives an empty result; nulls, ties and repeated rows are
-rows like any other; more shards than rows leaves some shards empty.
+rows like any other; more shards than rows leaves some shards empty; columns named shard or slot are
+replaced.
 """
 
 from __future__ import annotations
@@ -92,5 +93,5 @@ def hypergeometric_shards(df: DataFrame, shards: int, seed: int = 0, max_groups:
     offsets = held.select(S, Q, F.coalesce(F.sum("__qb_n").over(before), F.lit(0)).alias("__qb_before"))
     final = Window.partitionBy(S, Q).orderBy(F.xxhash64(F.lit(seed), F.lit(3), P), P)
     out = dealt.withColumn(R, F.row_number().over(final)).join(offsets, [S, Q])
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    columns = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
     return out.select(*columns, F.col(S).cast("int").alias("shard"), (F.col("__qb_before") + F.col(R) - 1).cast("bigint").alias("slot"))
