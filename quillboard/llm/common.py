@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that the numpy kernels work on at once.
-BLOCK_BYTES = 1 << 21
 #: Rows up to which a frame of a few narrow columns is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -36,7 +34,7 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if rows <= most else df
 
 
-def small_batches(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+def small_batches(df: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
     """Keep Arrow batches of long texts small: Spark cuts them by bytes as well as by rows."""
     conf = df.sparkSession.conf
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -48,21 +46,15 @@ def small_batches(df: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def crc_fold(id_column: Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo `buckets`; a null id is in fold 0."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % F.lit(buckets), F.lit(0).cast("bigint"))
-
-
-def blocks(texts: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, list[str | None]]]:
-    """Runs of whole texts of at most `most` bytes together (a longer text stands alone)."""
-    n = len(texts)
-    if not n:
-        return
-    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
-    start, held = 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and held + size > most:
-            yield start, texts.slice(start, i - start).to_pylist()
-            start, held = i, 0
-        held += size
-    yield start, texts.slice(start, n - start).to_pylist()

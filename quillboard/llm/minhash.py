@@ -43,10 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillboard.llm.common import cut, maybe_broadcast, small_batches
+from quillboard.llm.common import cut, maybe_broadcast, release_memory, small_batches
 from quillboard.llm.components import connected_components
 
-BLOCK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 18
 BROADCAST_IDS = 1_000_000
 #: Components from so many members on are compared with other nodes in blocks.
 LARGE = 64
@@ -157,6 +157,7 @@ def signed(df: DataFrame, id_col: str, text_col: str, size: int, coordinates: in
             flat = np.concatenate(sigs).ravel() if sigs else np.zeros(0, np.int32)
             offsets = np.arange(len(n) + 1, dtype=np.int32) * coordinates
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "key", "sig"])
+        release_memory()
 
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -172,6 +173,7 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, size: int, wanted: Data
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["key", "set"])
+        release_memory()
 
     source = df.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ids = wanted.select("rep").distinct()

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from quillboard.llm.fitting import draw, platt
 from quillboard.llm.textnp import code_points, map_texts
 
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Upper edges of the bins of each line feature.
 EDGES = {
     "length": (0, 5, 20, 60, 150, 400, 1200),

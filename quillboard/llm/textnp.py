@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillboard.llm.common import small_batches
+from quillboard.llm.common import release_memory, small_batches
 
-#: Characters that a kernel works on at once; a longer text is taken in several pieces.
-BLOCK_CHARS = 1 << 20
+#: Characters that a kernel works on at once, and from which on a text is taken in several pieces.
+BLOCK_CHARS = 1 << 17
+PIECE_CHARS = 1 << 20
 
 
 @functools.cache
@@ -32,7 +33,7 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def split_long(text: str, most: int = BLOCK_CHARS) -> Iterator[str]:
+def split_long(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
     """Pieces of at most `most` characters, cut behind a space where the last half has one."""
     start = 0
     while len(text) - start > most:
@@ -43,17 +44,17 @@ def split_long(text: str, most: int = BLOCK_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def text_blocks(texts: Iterable[str | None], most: int = BLOCK_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(row of each piece, pieces): whole texts, long ones in pieces, about `most` characters together."""
+def text_blocks(texts: Iterable[str | None], most: int = BLOCK_CHARS, piece: int = PIECE_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(row of each piece, pieces): whole texts, very long ones in pieces, about `most` characters together."""
     rows, held, size = [], [], 0
     for i, text in enumerate(texts):
-        for piece in split_long(text or "", most):
-            if held and size + len(piece) > most:
+        for part in split_long(text or "", piece):
+            if held and size + len(part) > most:
                 yield np.array(rows), held
                 rows, held, size = [], [], 0
             rows.append(i)
-            held.append(piece)
-            size += len(piece) + 1
+            held.append(part)
+            size += len(part) + 1
     if held:
         yield np.array(rows), held
 
@@ -109,8 +110,12 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], start:
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         score = start()
-        for batch in batches:
+        for i, batch in enumerate(batches):
+            if i % 16 == 15:
+                release_memory()
             found = score(batch.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, kind) for x, kind in zip(found, kinds, strict=True))], names=names)
+        del score
+        release_memory()
 
     return small_batches(source).mapInArrow(run, schema)

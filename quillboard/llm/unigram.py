@@ -33,7 +33,7 @@ from quillboard.llm.textnp import code_points, map_texts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-REMEMBER = 150_000
+REMEMBER = 40_000
 LONG = 256
 UNKNOWN_PENALTY = 10.0
 #: Places of the trie that its construction looks through at once.
@@ -391,7 +391,7 @@ class Coder:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
-def encode_column(df: DataFrame, model: Unigram, text_col: str = "text", batch_chars: int = 1 << 21) -> DataFrame:
+def encode_column(df: DataFrame, model: Unigram, text_col: str = "text", batch_chars: int = 1 << 18) -> DataFrame:
     """`df` with ids (int array), n_tokens, n_byte_tokens, round_trip (does decoding give the text back)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -16,7 +16,7 @@ DOCS = "doc_id bigint, text string, lang string, score string"
 def test_long_texts_are_taken_in_whole_pieces():
     text = "ab cd " * 1000 + "x" * 5000
     assert "".join(split_long(text, 700)) == text
-    blocks = list(text_blocks([text, None, "y"], 700))
+    blocks = list(text_blocks([text, None, "y"], 300, 700))
     assert "".join(p for rows, pieces in blocks for r, p in zip(rows, pieces, strict=True) if r == 0) == text
 
 
