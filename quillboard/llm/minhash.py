@@ -39,7 +39,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -143,8 +143,13 @@ def _key(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def _digest(text_col: str) -> Column:
+    """With the id, what tells a row from others: rows equal in both share one set and one decision."""
+    return F.unhex(F.sha2(F.col(f"`{text_col}`").cast("string").cast("binary"), 256))
+
+
 def signed(df: DataFrame, id_col: str, text_col: str, size: int, coordinates: int, seed: int) -> DataFrame:
-    """id, n_shingles, key of the set, signature of every row."""
+    """id, digest of the text, n_shingles, key of the set, signature of every row."""
     by = multipliers(coordinates, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,12 +161,12 @@ def signed(df: DataFrame, id_col: str, text_col: str, size: int, coordinates: in
                 sigs.append(signatures(hashes, ends, by).view(np.int32))
             flat = np.concatenate(sigs).ravel() if sigs else np.zeros(0, np.int32)
             offsets = np.arange(len(n) + 1, dtype=np.int32) * coordinates
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "digest", "n", "key", "sig"])
         release_memory()
 
-    source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    source = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), _digest(text_col).alias("digest"))
     kind = source.schema["id"].dataType.simpleString()
-    return small_batches(source).mapInArrow(run, f"id {kind}, n bigint, key binary, sig array<int>")
+    return small_batches(source).mapInArrow(run, f"id {kind}, digest binary, n bigint, key binary, sig array<int>")
 
 
 def full_sets(df: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame, rows: int) -> DataFrame:
@@ -311,8 +316,8 @@ def _unpacked(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return items.field(0).to_numpy(), sets.values.to_numpy()[bounds[0] : bounds[-1]], (bounds - bounds[0])[:-1]
 
 
-def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, coordinates: int = 64, miss: float = 1e-5, seed: int = 17) -> DataFrame:
-    """One row per input row: `id_col`, n_shingles, component_id, kept."""
+def _marked(df: DataFrame, id_col: str, text_col: str, size: int = 5, percent: int = 80, coordinates: int = 64, miss: float = 1e-5, seed: int = 17) -> DataFrame:
+    """One row per input row: id, digest of the text, n, component (an id)."""
     matches = least_matches(coordinates, percent, miss)
     rows = cut(signed(df, id_col, text_col, size, coordinates, seed))
     grouped = rows.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
@@ -324,13 +329,20 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         ids = classes.select("node", "key", "rep").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
         least = ids.groupBy("component").agg(F.min("rep").alias("label"))
         named = cut(ids.join(least, "component").select("key", "rep", "label"))
-    out = rows.select("id", "n", "key").join(named, "key", "left")
-    component = F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    out = rows.select("id", "digest", "n", "key").join(named, "key", "left")
+    return out.select("id", "digest", "n", F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("id")).alias("component"))
+
+
+def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, coordinates: int = 64, miss: float = 1e-5, seed: int = 17) -> DataFrame:
+    """One row per input row: `id_col`, n_shingles, component_id, kept."""
+    out = _marked(df, id_col, text_col, size, percent, coordinates, miss, seed)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of `df` whose id is that of their component."""
-    marked = components(df, id_col, text_col, **how)
-    gone = marked.where(~F.col("kept")).select(F.col(id_col).alias("__qb_gone")).distinct()
-    return df.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__qb_gone")), "left_anti")
+    """The rows of `df` whose id is that of their component, each by its own text: other rows may bear its id."""
+    marked = _marked(df, id_col, text_col, **how)
+    # a row that goes has a set, so its text is not null
+    gone = marked.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__qb_gone"), F.col("digest").alias("__qb_text")).distinct()
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__qb_gone")) & (_digest(text_col) == F.col("__qb_text"))
+    return df.join(gone, same, "left_anti")

@@ -110,6 +110,16 @@ def test_empty_table_and_survivors(spark):
     assert {r.doc_id for r in minhash.survivors(df, size=5).collect()} == kept
 
 
+def test_survivors_are_decided_by_row_and_not_by_id(spark):
+    rng = random.Random(6)
+    first, clean, other = (" ".join(words(rng, 60)) for _ in range(3))
+    near = first + " tail"
+    rows = [(1, first), (None, first.upper()), (None, clean), (None, None), (7, near), (7, other), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    left = [(1, first), (None, clean), (None, None), (7, other), (8, None)]
+    assert sorted(map(repr, map(tuple, minhash.survivors(df, size=5).collect()))) == sorted(map(repr, left))
+
+
 def test_signature_agreement_estimates_similarity():
     rng = random.Random(0)
     base = words(rng, 400)
