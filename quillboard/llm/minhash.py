@@ -27,8 +27,8 @@ No list, group or component is gathered in a task or on the driver: lists are jo
 pre-aggregated, components come from star rounds over the edge table. Nothing is capped.
 
 Edge cases: null, empty and blank texts have an empty set, are linked with nothing and form their own
-component; rows that repeat a document are nodes of one class; a row with a null id takes its class's
-component, which is null if no row of the class has an id. Extra columns are ignored by `components`.
+component; rows that repeat a document are nodes of one class; a row with a null id is linked
+like any other, and its component is null only if no row of the component has an id. Extra columns are ignored by `components`.
 """
 
 from __future__ import annotations
@@ -183,8 +183,11 @@ def full_sets(df: DataFrame, id_col: str, text_col: str, size: int, wanted: Data
     source = df.select(F.col(f"`{id_col}`").alias("rep"), F.col(f"`{text_col}`").cast("string").alias("text"))
     ids = wanted.select("rep").distinct()
     chosen = source.join(F.broadcast(ids) if rows <= BROADCAST_IDS else ids, "rep", "left_semi").select("text")
+    # a class without any id: a join finds no null, and would deal all of them to one task
+    if not wanted.where("rep IS NULL").isEmpty():
+        chosen = chosen.unionByName(source.where("rep IS NULL").select("text"))
     found = small_batches(chosen).mapInArrow(run, "key binary, set array<bigint>")
-    # an id that several rows bear may bring the same set more than once
+    # an id that several rows bear, or that rows lack, may bring the same set more than once
     return found.join(maybe_broadcast(wanted.select("key", "node"), rows, BROADCAST_IDS), "key").groupBy("node").agg(F.first("set").alias("set"))
 
 

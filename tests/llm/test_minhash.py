@@ -110,6 +110,21 @@ def test_empty_table_and_survivors(spark):
     assert {r.doc_id for r in minhash.survivors(df, size=5).collect()} == kept
 
 
+def test_rows_without_id_are_linked(spark, monkeypatch):
+    rng = random.Random(9)
+    near, bridge = words(rng, 100), words(rng, 100)
+    start, end = words(rng, 16), words(rng, 16)
+    left, right = " ".join([*start, *bridge]), " ".join([*bridge, *end])
+    rows = [(1, " ".join(near)), (None, " ".join(edited(rng, near, 2))), (3, left), (None, " ".join(bridge)), (4, right)]
+    alone = words(rng, 100)
+    rows += [(None, " ".join(alone)), (None, " ".join(edited(rng, alone, 2))), (None, " ".join(words(rng, 50)))]
+    want = expected(rows, 5)
+    assert [r[2] for r in want if r[0] == 4] == [3] and len(shingle_set(left, 5) & shingle_set(right, 5)) * 100 < 80 * len(shingle_set(left, 5) | shingle_set(right, 5))
+    assert got(spark, rows, size=5) == want
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+    assert got(spark, rows, size=5) == want
+
+
 def test_survivors_are_decided_by_row_and_not_by_id(spark):
     rng = random.Random(6)
     first, clean, other = (" ".join(words(rng, 60)) for _ in range(3))
