@@ -10,12 +10,13 @@ more are raked by the same updates as DataFrame aggregations over the cell table
 group-by and join for each dimension and sweep), so nothing unbounded is collected.
 
 Targets are shares by value for each dimension; without them, the tokens' own shares to the power
-`alpha`, normalised: below 1 it lifts rare values. Values without a target get rate 0; a target whose
-value has no tokens is spread over the others. A target that asks for more tokens than there are is met
+`alpha`, normalised: below 1 it lifts rare values. Values without a target where some are given get rate
+0; a target whose value has no tokens is spread over the others. A target that asks for more tokens than there are is met
 as far as rates of 1 allow.
 
 Null values of a dimension form a value of their own (key None in targets). Null and empty texts have no
-tokens; they are kept at their cell's rate. Rows that repeat id and text share one decision. An empty
+tokens; they are kept at their cell's rate, which is scaled by the dimensions whose value has tokens only;
+where no text has tokens, it is 1 but for values that the targets leave out. Rows that repeat id and text share one decision. An empty
 table gives an empty result. Extra columns are carried by `sample`.
 """
 
@@ -65,16 +66,20 @@ def _name(value) -> str:
     return "-" if value is None else f"={value}"
 
 
-def rake(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], budget: float, sweeps: int = 200, tolerance: float = 1e-6) -> np.ndarray:
-    """Rates (0 to 1) of cells so that expected tokens meet budget * target of every value of every dimension."""
+def rake(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], budget: float, sweeps: int = 200, tolerance: float = 1e-6, barred: list[np.ndarray] | None = None) -> np.ndarray:
+    """Rates (0 to 1) of cells so that expected tokens meet budget * target of every value of every dimension.
+
+    A value without tokens scales nothing, unless it is `barred`: then its rate is 0.
+    """
+    barred = barred or [np.zeros(len(t), dtype=bool) for t in targets]
     total = tokens.sum()
     rate = np.full(len(tokens), budget / total if total else 1.0)
     for _ in range(sweeps):
         worst = 0.0
-        for code, target in zip(codes, targets, strict=True):
+        for code, target, bar in zip(codes, targets, barred, strict=True):
             now = np.bincount(code, weights=tokens * np.minimum(rate, 1.0), minlength=len(target))
             with np.errstate(divide="ignore", invalid="ignore"):
-                factor = np.where(now > 0, target * budget / np.where(now > 0, now, 1), np.where(target > 0, 1.0, 0.0))
+                factor = np.where(now > 0, target * budget / np.where(now > 0, now, 1), np.where(bar, 0.0, 1.0))
             worst = max(worst, float(np.abs(factor[now > 0] - 1).max(initial=0.0)))
             rate = np.clip(rate * factor[code], 0.0, 1e6)
         if worst < tolerance:
@@ -95,6 +100,12 @@ def shares(values: list[str], tokens: np.ndarray, code: np.ndarray, given: Mappi
     return target / target.sum() if target.sum() > 0 else target
 
 
+def left_out(values: list[str], given: Mapping | None) -> np.ndarray:
+    """The values that given targets leave out or set to 0."""
+    named = {_name(k) for k, v in (given or {}).items() if v > 0}
+    return np.array([given is not None and v not in named for v in values], dtype=bool)
+
+
 def _frame(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -112,7 +123,8 @@ def cell_rates(cells: DataFrame, targets: Mapping[str, Mapping] | None, budget_s
             codes.append(code)
         tokens = rows.column("tokens").to_numpy().astype(np.float64)
         goal = [shares(v, tokens, c, targets.get(d), alpha) for d, v, c in zip(DIMS, names, codes, strict=True)]
-        rate = rake(codes, tokens, goal, budget_share * tokens.sum(), sweeps)
+        barred = [left_out(v, targets.get(d)) for d, v in zip(DIMS, names, strict=True)]
+        rate = rake(codes, tokens, goal, budget_share * tokens.sum(), sweeps, barred=barred)
         found = [(*(v[c[i]] for v, c in zip(names, codes, strict=True)), float(rate[i])) for i in range(n)]
         return _frame(cells.sparkSession, found, ", ".join(f"{k} string" for k in KEYS) + ", rate double"), n
     return _rake_frames(cells, targets, budget_share, alpha, sweeps), n
@@ -128,17 +140,17 @@ def _rake_frames(cells: DataFrame, targets: Mapping[str, Mapping], budget_share:
         held = cells.groupBy(key).agg(F.sum("tokens").cast("double").alias("held"))
         if dim in targets:
             named = _frame(spark, [(_name(k), float(v)) for k, v in targets[dim].items()], f"{key} string, raw double")
-            held = held.join(named, key, "left").withColumn("raw", F.when(F.col("held") > 0, F.coalesce("raw", F.lit(0.0))).otherwise(0.0))
+            held = held.join(named, key, "left").withColumn("barred", F.coalesce(F.col("raw") <= 0, F.lit(True))).withColumn("raw", F.when(F.col("held") > 0, F.coalesce("raw", F.lit(0.0))).otherwise(0.0))
         else:
-            held = held.withColumn("raw", F.when(F.col("held") > 0, F.pow(F.col("held") / F.lit(total or 1.0), F.lit(alpha))).otherwise(0.0))
+            held = held.withColumn("barred", F.lit(False)).withColumn("raw", F.when(F.col("held") > 0, F.pow(F.col("held") / F.lit(total or 1.0), F.lit(alpha))).otherwise(0.0))
         whole = float(held.agg(F.sum("raw")).first()[0] or 0) or 1.0
-        goals.append(cut(held.select(key, (F.col("raw") / whole * budget).alias("goal"))))
+        goals.append(cut(held.select(key, "barred", (F.col("raw") / whole * budget).alias("goal"))))
     rated = cut(cells.select(*KEYS, F.col("tokens").cast("double").alias("tokens"), F.lit(budget_share if total else 1.0).alias("rate")))
     for _ in range(sweeps):
         worst = 0.0
         for key, goal in zip(KEYS, goals, strict=True):
             now = rated.groupBy(key).agg(F.sum(F.col("tokens") * F.least("rate", F.lit(1.0))).alias("now"))
-            factor = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(F.when(F.col("goal") > 0, 1.0).otherwise(0.0))
+            factor = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(F.when(F.col("barred"), 0.0).otherwise(1.0))
             step = cut(now.join(goal, key).select(key, factor.alias("factor"), (F.col("now") > 0).alias("live")))
             worst = max(worst, float(step.where("live").agg(F.max(F.abs(F.col("factor") - 1))).first()[0] or 0))
             rated = rated.join(step.select(key, "factor"), key).withColumn("rate", F.least(F.col("rate") * F.col("factor"), F.lit(1e6))).drop("factor")

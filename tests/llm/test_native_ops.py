@@ -174,3 +174,16 @@ def test_topics(spark):
     texts = {"": "empty", None: "empty", "a | b | c": "table", "x### y$$$ z***": "symbols", "SHOUTING OUT LOUD": "capitals", "hello there": "note", "word " * 200: "prose", "word " * 3000: "long"}
     df = spark.createDataFrame([(t, k) for t, k in texts.items()], T.StructType([T.StructField("t", T.StringType()), T.StructField("k", T.StringType())]))
     assert all(r.k == r.x for r in df.select("k", mixing.topic_of(F.col("t")).alias("x")).collect())
+@pytest.mark.parametrize("driver_cells", [1000, 0])
+def test_documents_without_tokens_are_kept_at_their_cells_rate(spark, driver_cells):
+    texts = [(i, "word " * 20, ["en", "de"][i % 2], "s0", 0) for i in range(40)]
+    empty = [(100, None, "en", "s0", 0), (101, "", "en", "s0", 0), (102, "", "xx", "s0", 0), (103, " ", "en", "s9", 0)]
+    df = spark.createDataFrame([*texts, *empty], DOCS)
+    rate = {r.doc_id: r.probability for r in mixing.decisions(df, driver_cells=driver_cells).collect()}
+    assert np.allclose([rate[i] for i in (0, 1, 100, 101, 102, 103)], 0.6, atol=1e-4)
+    barred = {r.doc_id: r.probability for r in mixing.decisions(df, targets={"source": {"s0": 1.0}}, driver_cells=driver_cells).collect()}
+    assert barred[103] == 0 and abs(barred[102] - 0.6) < 1e-4
+    nothing = mixing.sample(spark.createDataFrame(empty, DOCS), driver_cells=driver_cells)
+    assert sorted(r.doc_id for r in nothing.collect()) == [100, 101, 102, 103]
+
+
