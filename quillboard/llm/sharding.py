@@ -52,18 +52,31 @@ def communication_matrix(group_rows: list[int], shard_rows: list[int], seed: int
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    """numpy takes fewer than 10^9 of each kind; beyond that, the draw is split in two halves."""
+    """numpy takes fewer than 10^9 of each kind; beyond that, the distribution is inverted."""
     if bad == 0:
         return draws
     if good == 0:
         return 0
     if good < 10**9 and bad < 10**9:
         return int(rng.hypergeometric(good, bad, draws))
-    # the normal limit is exact to far less than one row in sd at such sizes, and stays in the support
+    return _inverted(rng, good, bad, draws)
+
+
+def _inverted(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """A hypergeometric draw in double precision: a uniform number against the summed probabilities.
+
+    They are built from the ratios of neighbours around the mean, as far as 12 standard deviations and 60
+    more: beyond, Bernstein's bound is below 2^-53, which no uniform double resolves.
+    """
     total = good + bad
-    mean = draws * (good / total)
-    sd = (mean * (bad / total) * ((total - draws) / max(1, total - 1))) ** 0.5
-    return int(min(good, draws, max(0, draws - bad, round(rng.normal(mean, sd)))))
+    mean = draws * good / total
+    wide = int(12 * (mean * (bad / total) * ((total - draws) / max(1, total - 1))) ** 0.5) + 60
+    low = max(0, draws - bad, int(mean) - wide)
+    k = np.arange(low, min(good, draws, int(mean) + wide), dtype=np.int64)
+    steps = np.log((good - k) / (k + 1) * ((draws - k) / (bad - draws + k + 1)))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    below = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(below, rng.random() * below[-1], side="right")), len(k))
 
 
 def hypergeometric_shards(df: DataFrame, shards: int, seed: int = 0, max_groups: int = 2048, rows_per_piece: int = 200_000) -> DataFrame:

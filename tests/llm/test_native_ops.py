@@ -25,6 +25,22 @@ def test_matrix_cells_have_the_hypergeometric_mean():
     assert abs(np.mean(cells) - 15) < 0.5 and 1.8 < np.var(cells) < 8  # variance 30*.5*.5*(70/99) = 5.3
 
 
+def test_draws_from_many_rows_are_hypergeometric():
+    rng = np.random.default_rng(3)
+    few = [sharding._hypergeometric(rng, 2 * 10**9, 4 * 10**12 - 2 * 10**9, 1000) for _ in range(6000)]  # all but Poisson of mean 0.5
+    assert np.allclose(np.bincount(few, minlength=3)[:3] / 6000, np.exp(-0.5) * np.array([1, 0.5, 0.125]), atol=0.03)
+    many = np.array([sharding._hypergeometric(rng, 10**9, 3 * 10**9, 10**6) for _ in range(2000)])
+    assert abs(many.mean() - 250_000) < 60 and 0.85 < many.var() / 187_453 < 1.15
+    assert sharding._hypergeometric(rng, 10**9, 5, 10**9 + 2) in range(10**9 - 3, 10**9 + 1)
+
+
+def test_inverted_draws_have_the_law_of_small_ones():
+    rng = np.random.default_rng(4)
+    a = [sharding._inverted(rng, 9, 5, 6) for _ in range(8000)]
+    b = rng.hypergeometric(9, 5, 6, 8000)
+    assert min(a) >= 1 and max(a) <= 6 and np.allclose(np.bincount(a, minlength=7) / 8000, np.bincount(b, minlength=7) / 8000, atol=0.03)
+
+
 @pytest.mark.parametrize("n", [0, 3, 40, 1003])
 def test_shards_are_exact_and_gapless(spark, n):
     df = spark.range(n).repartition(7).withColumn("shard", F.lit("clash"))
@@ -170,10 +186,6 @@ def test_mixing_of_nothing_and_of_no_tokens(spark):
     assert mixing.sample(spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None)], DOCS)).columns == DOCS.replace(" bigint", "").replace(" string", "").split(", ")
 
 
-def test_topics(spark):
-    texts = {"": "empty", None: "empty", "a | b | c": "table", "x### y$$$ z***": "symbols", "SHOUTING OUT LOUD": "capitals", "hello there": "note", "word " * 200: "prose", "word " * 3000: "long"}
-    df = spark.createDataFrame([(t, k) for t, k in texts.items()], T.StructType([T.StructField("t", T.StringType()), T.StructField("k", T.StringType())]))
-    assert all(r.k == r.x for r in df.select("k", mixing.topic_of(F.col("t")).alias("x")).collect())
 @pytest.mark.parametrize("driver_cells", [1000, 0])
 def test_documents_without_tokens_are_kept_at_their_cells_rate(spark, driver_cells):
     texts = [(i, "word " * 20, ["en", "de"][i % 2], "s0", 0) for i in range(40)]
@@ -187,3 +199,7 @@ def test_documents_without_tokens_are_kept_at_their_cells_rate(spark, driver_cel
     assert sorted(r.doc_id for r in nothing.collect()) == [100, 101, 102, 103]
 
 
+def test_topics(spark):
+    texts = {"": "empty", None: "empty", "a | b | c": "table", "x### y$$$ z***": "symbols", "SHOUTING OUT LOUD": "capitals", "hello there": "note", "word " * 200: "prose", "word " * 3000: "long"}
+    df = spark.createDataFrame([(t, k) for t, k in texts.items()], T.StructType([T.StructField("t", T.StringType()), T.StructField("k", T.StringType())]))
+    assert all(r.k == r.x for r in df.select("k", mixing.topic_of(F.col("t")).alias("x")).collect())
