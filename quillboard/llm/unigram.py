@@ -4,7 +4,8 @@ The pieces and log scores come from a public model file (read on the driver, nev
 A text gets a dummy prefix, spaces become the marker U+2581, and the segmentation of the highest total
 score wins; where scores tie, the longer last piece does. A character that no piece begins with costs
 `min score - 10` and is spelled in byte pieces. Decoding joins pieces, turns byte runs into text, markers
-into spaces, and drops the dummy prefix: decode(encode(x)) = x for every text.
+into spaces, and drops the dummy prefix: decode(encode(x)) = x for every text without U+2581. Each U+2581
+of a text comes back as a space, as the model knows no other marker.
 
 No piece has a marker behind another character, so the best segmentation of a text is that of its
 words, each with the markers before it; only a piece that starts with a marker can follow a word. Texts
@@ -392,7 +393,7 @@ class Coder:
 
 
 def encode_column(df: DataFrame, model: Unigram, text_col: str = "text", batch_chars: int = 1 << 18) -> DataFrame:
-    """`df` with ids (int array), n_tokens, n_byte_tokens, round_trip (does decoding give the text back)."""
+    """`df` with ids (int array), n_tokens, n_byte_tokens, round_trip (does decoding give `round_trip_form` of it back)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
