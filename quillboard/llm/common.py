@@ -1,23 +1,35 @@
-"""Shared helpers of the text operators: durable cut points, bounded batches, folds."""
+"""Shared helpers of the text operators: durable cut points, bounded batches, joins with hot keys, folds."""
 
 from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a frame of a few narrow columns is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 250_000
+#: Parts into which the rows of one key are dealt where a key may be hot.
+SALTS = 64
+_scratch: list[list[str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; sets one of its own only where none is set."""
+    """The shared folder that the session names; a folder of its own only in local mode.
+
+    Raises where executors run on other machines and no shared folder is named.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     have = spark.sparkContext.getCheckpointDir()
     if have is None:
+        if not named and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         spark.sparkContext.setCheckpointDir(named or f"/tmp/checkpoints/quillboard-{uuid.uuid4().hex[:12]}")
         have = spark.sparkContext.getCheckpointDir()
     return named or have
@@ -26,24 +38,67 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there: survives lost executors."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    if _scratch:
+        file = written._jdf.logicalPlan().rdd().getCheckpointFile()
+        if file.isDefined():
+            _scratch[-1].append(file.get())
+    return written
 
 
-def maybe_broadcast(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a frame whose row count was measured and is small; else leave the join to a shuffle."""
-    return F.broadcast(df) if rows <= most else df
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small_batches(df: DataFrame, most_bytes: int = 1 << 20) -> DataFrame:
-    """Keep Arrow batches of long texts small: Spark cuts them by bytes as well as by rows."""
-    conf = df.sparkSession.conf
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end, what `cut` wrote inside: for work whose result is written by then."""
+    _scratch.append([])
     try:
-        if int(conf.get(key).rstrip("b") or 0) > most_bytes:
-            conf.set(key, str(most_bytes))
-    except Exception:  # noqa: BLE001  the setting has another form or does not exist here
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return df
+        yield
+    finally:
+        for path in _scratch.pop():
+            delete(spark, path)
+
+
+def maybe_broadcast(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """Broadcast a frame whose row count was measured and is small; else leave the join to a shuffle."""
+    return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
+
+
+def join_hot(df: DataFrame, few: DataFrame, key: str, by: str, rows: int, how: str = "inner") -> DataFrame:
+    """`df` joined with `few`, one row for each key, where a key of `df` may be hot.
+
+    A measured small `few` is broadcast. Otherwise the rows of each key are dealt into SALTS parts by a
+    hash of the column `by`, and `few` is sent to each part.
+    """
+    if rows <= BROADCAST_ROWS:
+        return df.join(F.broadcast(few), key, how)
+    salt = "__qb_salt"
+    left = df.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, salt], how).drop(salt)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose values of one column (text, bytes or lists) take about `most_bytes`.
+
+    A single longer value is a slice of its own.
+    """
+    for batch in batches:
+        values = batch.column(column)
+        if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
+            sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False) * 8
+        else:
+            sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes.astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def release_memory() -> None:

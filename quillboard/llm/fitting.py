@@ -2,32 +2,44 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillboard.llm.common import cut, maybe_broadcast
+
 
-def _share(rows: DataFrame, label_col: str, max_rows: int) -> Column | None:
-    """For each label, which of a million hash values to take so that about `max_rows` rows are left."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(label_col).agg(F.count(F.lit(1))).collect()}  # two labels
+def _share(rows: DataFrame, label_col: str, max_rows: int, text_col: str | None = None, max_chars: int = 0) -> Column | None:
+    """For each label, which of a million hash values to take so that about `max_rows` rows are left.
+
+    With a text column, so that about `max_chars` characters are left too: each text has the same chance,
+    whatever its length.
+    """
+    chars = F.sum(F.length(text_col)) if text_col else F.lit(0)
+    sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy(label_col).agg(F.count(F.lit(1)), chars).collect()}  # two labels
     if not sizes:
         return None
-    return F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, max_rows / n) * 1_000_000)])[F.col(label_col)]
+    shares = {k: min(1.0, max_rows / n, max_chars / size if size else 1.0) for k, (n, size) in sizes.items()}
+    return F.create_map(*[F.lit(x) for k, share in shares.items() for x in (k, share * 1_000_000)])[F.col(label_col)]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int, allowed: Column, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
     """Texts and labels of a sample of labelled ids: about `max_rows` of each label 0 and 1 at most.
 
-    The ids are drawn first, so that only a bounded frame is broadcast and no text is shuffled.
+    The ids are drawn first, so that no text is shuffled: the drawn ids are counted and broadcast, or
+    joined by a shuffle where repeated ids make them many. Null ids and labels are left out; an id that
+    several rows bear brings all their texts, each with each distinct label of the id.
     """
     rows = labels.select(F.col(f"`{id_col}`").alias("__qb_id"), F.col(f"`{label_col}`").cast("int").alias(label_col)).where(F.col(label_col).isin(0, 1) & F.col("__qb_id").isNotNull())
     rows = rows.where(allowed if allowed is not None else F.lit(True))
     share = _share(rows, label_col, max_rows)
     if share is None:
         return docs.sparkSession.createDataFrame([], f"{text_col} string, {label_col} int")
-    ids = rows.where(F.pmod(F.xxhash64(F.lit(seed), "__qb_id"), F.lit(1_000_000)) < share).dropDuplicates()
+    ids = cut(rows.where(F.pmod(F.xxhash64(F.lit(seed), "__qb_id"), F.lit(1_000_000)) < share).dropDuplicates())
     texts = docs.select(F.col(f"`{id_col}`").alias("__qb_id"), F.col(f"`{text_col}`").alias(text_col))
-    return texts.join(F.broadcast(ids), "__qb_id").select(text_col, label_col)
+    return texts.join(maybe_broadcast(ids, ids.count()), "__qb_id").select(text_col, label_col)
 
 
 def platt(x: np.ndarray, y: np.ndarray, steps: int = 60, balanced: bool = True) -> tuple[float, float]:
@@ -91,11 +103,16 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarra
 
 
 def draw(df: DataFrame, text_col: str, label_col: str, max_rows: int, max_chars: int, seed: int) -> tuple[list[str], list[int]]:
-    """About `max_rows` labelled texts of each class at most, by a hash of the text."""
-    rows = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).where(F.col("text").isNotNull() & F.col("label").isin(0, 1) & (F.length("text") <= max_chars))
-    share = _share(rows, "label", max_rows)
-    if share is None:
-        return [], []
-    got = rows.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) < share).toArrow()
-    pairs = sorted(zip(got.column("text").to_pylist(), got.column("label").to_pylist(), strict=True))
+    """About `max_rows` labelled texts and `max_chars` characters of each class at most, by a hash of the text.
+
+    Texts are whole; null texts and labels other than 0 and 1 are left out. Warns where a class is empty.
+    """
+    rows = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{label_col}`").cast("int").alias("label")).where(F.col("text").isNotNull() & F.col("label").isin(0, 1))
+    share = _share(rows, "label", max_rows, "text", max_chars)
+    pairs = []
+    if share is not None:
+        got = rows.where(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_000)) < share).toArrow()
+        pairs = sorted(zip(got.column("text").to_pylist(), got.column("label").to_pylist(), strict=True))
+    if len({k for _, k in pairs}) < 2:
+        warnings.warn(f"{label_col}: not both classes have texts to learn from", stacklevel=2)
     return [t for t, _ in pairs], [k for _, k in pairs]

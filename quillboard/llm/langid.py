@@ -4,8 +4,8 @@ Letters are lower-cased, everything else is a word boundary; 1-, 2- and 3-grams
 hashed into `buckets`. Counts are summed on the executors from a sample of at most about
 `docs_per_lang` training texts of each language (whole texts; drawn by a hash of the text, so the same
 rows give the same model). The log-probability matrix, buckets x languages, is broadcast: its size is
-bounded by those two parameters' values. A batch of texts is scored as one sparse count matrix times
-that matrix.
+bounded by `buckets` and `max_languages`. A batch of texts is scored as one sparse count matrix times
+that matrix. Whole texts are counted, whatever their length.
 
 Result: lang_pred, a language seen in training, or `und` if the text is null or has no letter (or if
 training saw no language); score, the posterior of that language (0 for `und`). Equal posteriors go to
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillboard.llm.textnp import gram_hashes, joined, letter_table, map_texts, small_batches, text_blocks
+from quillboard.llm.common import small_batches
+from quillboard.llm.textnp import PIECE_CHARS, gram_hashes, joined, letter_table, map_texts, text_blocks
 
 ORDERS = (1, 2, 3)
+AHEAD = max(ORDERS) - 1
 
 
 @dataclass
@@ -36,17 +38,38 @@ class LanguageModel:
     log_prob: np.ndarray  # buckets x languages, float32
 
 
-def sparse_counts(texts: list[str | None], buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """CSR rows of hashed n-gram counts: (row of each piece, indptr, indices, counts), block by block."""
+def sparse_counts(texts: list[str | None], buckets: int, piece: int = PIECE_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """CSR rows of hashed n-gram counts: (row of each piece, indptr, indices, counts), block by block.
+
+    A long text is counted in pieces that look AHEAD characters into the next one: each gram is counted
+    in the piece where it begins, so the counts do not depend on `piece`.
+    """
     table, shift = letter_table(False), np.uint32(32 - (buckets.bit_length() - 1))
-    for rows, pieces in text_blocks(texts):
+
+    def split(text: str) -> Iterator[str]:
+        return (text[at : at + piece + AHEAD] for at in range(0, max(1, len(text)), piece))
+
+    done, seen = -1, 0  # the row counted last, and how many of its characters were
+    for rows, pieces in text_blocks(texts, piece, split):
         codes, owner = joined(pieces)
         codes = table[codes]
         first = np.searchsorted(owner, np.arange(len(pieces) + 1), "left")
+        counted = np.ones(len(codes), dtype=bool)
+        place = 0  # of the boundary before a piece
+        for row, part in zip(rows.tolist(), pieces, strict=True):
+            seen = seen if row == done else 0
+            if seen:
+                counted[place] = False  # no word begins here
+            whole = len(texts[row] or "")
+            own = len(part) if seen + len(part) >= whole and len(part) <= piece else min(piece, len(part))
+            if seen + own < whole:
+                counted[place + 1 + own : place + 1 + len(part)] = False
+            done, seen = row, seen + own
+            place += len(part) + 1
         grams, at = [], []
         for n in ORDERS:
             h, ok = gram_hashes(codes, n)
-            ok = np.flatnonzero(ok)
+            ok = np.flatnonzero(ok & counted[: len(ok)])
             grams.append((h[ok] >> shift).astype(np.int32))
             at.append(np.searchsorted(ok + (n > 1), first))  # a gram that begins on a boundary is the next word's
         indptr, indices, counts = [0], [], []
@@ -59,10 +82,15 @@ def sparse_counts(texts: list[str | None], buckets: int) -> Iterator[tuple[np.nd
         yield rows, np.array(indptr), np.concatenate(indices), np.concatenate(counts)
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 2000, buckets: int = 1 << 15, alpha: float = 0.2, seed: int = 7) -> LanguageModel:
-    """Learn from the rows of `df` with a language; null texts and languages are left out."""
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 2000, buckets: int = 1 << 15, alpha: float = 0.2, seed: int = 7, max_languages: int = 1000) -> LanguageModel:
+    """Learn from the rows of `df` with a language; null texts and languages are left out.
+
+    More than `max_languages` distinct values raise: the matrix is broadcast.
+    """
     rows = df.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"{lang_col} holds more than {max_languages} languages")
     if not sizes:
         return LanguageModel([], np.zeros(0), np.zeros((buckets, 0), np.float32))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, docs_per_lang / n))])
@@ -70,7 +98,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small_batches(batches, 0):
             langs = batch.column(1).to_pylist()
             for which, indptr, indices, counts in sparse_counts(batch.column(0).to_pylist(), buckets):
                 for i, row in enumerate(which):
@@ -80,7 +108,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_
             held = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held)), pa.array(held.astype(np.int32)), pa.array(into[held])], names=["lang", "bucket", "n"])
 
-    counted = small_batches(drawn).mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = drawn.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
     place = {lang: j for j, lang in enumerate(languages)}
     matrix = np.full((buckets, len(languages)), alpha)

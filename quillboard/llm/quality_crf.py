@@ -7,9 +7,9 @@ weighted by the lines' lengths, and a logistic curve fitted on training document
 
 With two labels the recursions run on log-odds: one number for each line, for all documents of a block
 at once. Training maximises the conditional likelihood by full-batch gradient steps; lines take their
-document's label (labels exist for documents only). At most about `max_rows` labelled documents of
-each class, none longer than `max_chars`, are drawn by a hash of the text; lines, documents and texts
-are otherwise unbounded.
+document's label (labels exist for documents only). About `max_rows` labelled documents and `max_chars`
+characters of each class at most are drawn by a hash of the text, whatever their length, and used whole;
+lines, documents and texts are otherwise unbounded.
 
 Null and empty texts have no line with content and take the training documents' mean raw quality.
 Without both classes in training every score is the share of good documents, or 1 if there are none.
@@ -19,6 +19,7 @@ replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -83,30 +84,42 @@ class QualityModel:
     empty: float
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line of each text and the end, bin columns of each line, characters of each line)."""
-    codes = code_points("\n".join(texts) + "\n")
-    kind = CLASSES[np.minimum(codes, 0xFFFF)]
+SUMS = ("length", "upper", "digit", "space", "stop", "symbol", "bar", "doubled", "words", "inside")
+BREAK = re.compile("[ \n]")
+
+
+def _pieces(text: str, most: int) -> Iterator[str]:
+    """Pieces of about `most` characters, cut behind a space or line end; a run without one stays whole."""
+    start = 0
+    while len(text) - start > most:
+        found = BREAK.search(text, start + most)
+        if found is None:
+            break
+        yield text[start : found.end()]
+        start = found.end()
+    if start < len(text):
+        yield text[start:] if start else text
+
+
+def _piece_sums(codes: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of lines; SUMS of each line, that of the open line last; word names; line of each word)."""
     ends = np.flatnonzero(codes == 10)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    length = ends - starts
-    text_ends = np.cumsum([len(t) + 1 for t in texts])
-    first = np.concatenate([[0], np.searchsorted(ends, text_ends - 1) + 1])
-    n = len(ends)
+    edges = np.append(ends, len(codes))
+    starts = np.concatenate([[0], ends + 1])
 
     def per_line(flags: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
-        return (total[ends] - total[starts]).astype(np.float64)
+        return total[edges] - total[starts]
 
-    chars = np.maximum(length, 1)
     inside = kind != SPACE
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
+    doubled = np.zeros(len(codes), dtype=bool)
+    doubled[1:] = (codes[1:] == codes[:-1]) & (kind[1:] >= STOP)
+    flags = (kind == UPPER, kind == DIGIT, kind == SPACE, kind == STOP, kind == SYMBOL, codes == 124, doubled, begins, inside)
+    sums = np.stack([edges - starts, *map(per_line, flags)])
     word_at = np.flatnonzero(begins)
-    words = per_line(begins)
-    many = np.maximum(words, 1)
-    repeated = np.zeros(n)
-    fresh = np.ones(n)
+    name = np.zeros(0, np.uint64)
     if len(word_at):
         at = np.flatnonzero(inside)
         index = np.searchsorted(at, word_at)
@@ -115,36 +128,61 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         mixed ^= mixed >> np.uint64(31)
         mixed *= np.uint64(0xBF58476D1CE4E5B9)
         name = np.add.reduceat(mixed, index)
-        line = np.searchsorted(ends, word_at)
-        same = (name[1:] == name[:-1]) & (line[1:] == line[:-1])
-        repeated = np.bincount(line[1:][same], minlength=n) / many
-        name ^= line.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        _, once = np.unique(name, return_index=True)
+    return ends, sums, name, np.searchsorted(ends, word_at)
+
+
+def line_features(texts: list[str], piece: int = 2 * BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line of each text and the end, bin columns of each line, characters of each line).
+
+    Long texts are read in pieces whose sums are added line by line: the result does not depend on `piece`.
+    """
+    parts, names, lines, opening, closing = [], [], [], [], []
+    done, before = 0, SPACE  # lines that have ended, and the class of the character before the piece
+    open_line = False
+    for part in _pieces("\n".join(texts) + "\n", piece):
+        codes = code_points(part)
+        kind = CLASSES[np.minimum(codes, 0xFFFF)]
+        ends, sums, name, line = _piece_sums(codes, kind)
+        whole = not len(ends) or int(ends[-1]) < len(codes) - 1  # the last line goes on in the next piece
+        parts.append((done, sums if whole else sums[:, :-1]))
+        names.append(name)
+        lines.append(line + done)
+        starts = np.concatenate([[0], ends + 1])[int(open_line) :]
+        starts = starts if whole else starts[:-1]
+        opening.append(np.where(codes[starts] == 10, 0, kind[starts]))
+        last = np.concatenate([[before], kind])[ends]
+        empty = np.diff(ends, prepend=-1) == 1
+        if open_line and len(ends):
+            empty[0] = False
+        closing.append(np.where(empty, 0, last))
+        done, before, open_line = done + len(ends), int(kind[-1]), whole
+    n = done
+    total = np.zeros((len(SUMS), n))
+    for at, sums in parts:
+        total[:, at : at + sums.shape[1]] += sums
+    of = dict(zip(SUMS, total, strict=True))
+    name, line = np.concatenate(names), np.concatenate(lines)
+    chars, many = np.maximum(of["length"], 1), np.maximum(of["words"], 1)
+    same = (name[1:] == name[:-1]) & (line[1:] == line[:-1])
+    repeated = np.bincount(line[1:][same], minlength=n) / many
+    fresh = np.ones(n)
+    if len(name):
+        _, once = np.unique(name ^ line.astype(np.uint64) * np.uint64(0x94D049BB133111EB), return_index=True)
         fresh = np.bincount(line[once], minlength=n) / many
-    doubled = np.zeros(len(codes), dtype=bool)
-    doubled[1:] = (codes[1:] == codes[:-1]) & (kind[1:] >= STOP)
-    opening = np.where(length > 0, kind[np.minimum(starts, len(kind) - 1)], 0)
-    closing = np.where(length > 0, kind[np.maximum(ends - 1, 0)], 0)
     group = np.array([0, 1, 2, 3, 3, 0, 3])  # of classes: letter case, digit or symbol, nothing or a stop
-    values = {
-        "length": length,
-        "upper": per_line(kind == UPPER) / chars,
-        "digit": per_line(kind == DIGIT) / chars,
-        "space": per_line(kind == SPACE) / chars,
-        "stop": per_line(kind == STOP) / chars,
-        "symbol": per_line(kind == SYMBOL) / chars,
-        "bar": per_line(codes == 124) / chars,
-        "doubled": per_line(doubled) / chars,
+    values = {k: of[k] / chars for k in SUMS[1:8]} | {
+        "length": of["length"],
         "repeated": repeated,
         "fresh": fresh,
-        "word": per_line(inside) / many,
-        "opening": group[opening],
-        "closing": group[closing],
+        "word": of["inside"] / many,
+        "opening": group[np.concatenate(opening)],
+        "closing": group[np.concatenate(closing)],
     }
     bins = np.empty((n, FEATURES), dtype=np.int32)
-    for k, (name, edges) in enumerate(EDGES.items()):
-        bins[:, k] = np.searchsorted(edges, values[name], "left") + k * WIDTH
-    return first, bins, length
+    for k, (feature, edges) in enumerate(EDGES.items()):
+        bins[:, k] = np.searchsorted(edges, values[feature], "left") + k * WIDTH
+    rows = np.array([t.count("\n") + 1 for t in texts], dtype=np.int64)
+    return np.concatenate([[0], np.cumsum(rows)]), bins, of["length"].astype(np.int64)
 
 
 def _neighbours(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +328,8 @@ def train(texts: list[str], labels: list[int], steps: int = 150, rate: float = 0
     return model
 
 
-def fit(df: DataFrame, text_col: str = "text", label_col: str = "quality", max_rows: int = 3000, max_chars: int = 40_000, seed: int = 3, **how) -> QualityModel:
+def fit(df: DataFrame, text_col: str = "text", label_col: str = "quality", max_rows: int = 3000, max_chars: int = 12_000_000, seed: int = 3, **how) -> QualityModel:
+    """Learn from about `max_rows` whole texts and `max_chars` characters of each class at most."""
     texts, labels = draw(df.where(F.length(F.trim(F.col(f"`{text_col}`"))) > 0), text_col, label_col, max_rows, max_chars, seed)
     return train(texts, labels, seed=seed, **how)
 

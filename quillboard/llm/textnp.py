@@ -12,9 +12,9 @@ from pyspark.sql import types as T
 
 from quillboard.llm.common import release_memory, small_batches
 
-#: Characters that a kernel works on at once, and from which on a text is taken in several pieces.
+#: Characters that a kernel works on at once, and of the pieces of longer texts. No result depends on either.
 BLOCK_CHARS = 1 << 17
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 17
 
 
 @functools.cache
@@ -33,22 +33,11 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def split_long(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
-    """Pieces of at most `most` characters, cut behind a space where the last half has one."""
-    start = 0
-    while len(text) - start > most:
-        cut = text.rfind(" ", start + most // 2, start + most)
-        cut = start + most if cut < 0 else cut + 1
-        yield text[start:cut]
-        start = cut
-    yield text[start:] if start else text
-
-
-def text_blocks(texts: Iterable[str | None], most: int = BLOCK_CHARS, piece: int = PIECE_CHARS) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(row of each piece, pieces): whole texts, very long ones in pieces, about `most` characters together."""
+def text_blocks(texts: Iterable[str | None], most: int = BLOCK_CHARS, split: Callable[[str], Iterable[str]] = lambda text: (text,)) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(row of each piece, pieces): whole texts, those beyond `most` characters as `split` cuts them, about `most` together."""
     rows, held, size = [], [], 0
     for i, text in enumerate(texts):
-        for part in split_long(text or "", piece):
+        for part in split(text or "") if len(text or "") > most else (text or "",):
             if held and size + len(part) > most:
                 yield np.array(rows), held
                 rows, held, size = [], [], 0
@@ -110,12 +99,12 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], start:
 
         kinds = [to_arrow_type(f.dataType) for f in fields]
         score = start()
-        for i, batch in enumerate(batches):
+        for i, batch in enumerate(small_batches(batches, place)):
             if i % 16 == 15:
                 release_memory()
             found = score(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(x, kind) for x, kind in zip(found, kinds, strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(found, kinds, strict=True))], names=names)
         del score
         release_memory()
 
-    return small_batches(source).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

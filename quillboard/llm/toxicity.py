@@ -12,16 +12,17 @@ texts, a random one more); they start from the grams' log-odds in toxic and clea
 For scoring, each embedding is multiplied by the softmax weights beforehand: averages are linear, so
 the scalar of a bucket gives the same logit as its vector.
 
-Learning draws at most `max_rows` labelled texts of each class, none longer than `max_chars`, by a hash
-of the text; nothing else is bounded. Texts beyond a million characters are cut at spaces, and windows
-restart there. Null, empty and letterless texts have no window and score as a
+Learning draws about `max_rows` labelled texts and `max_chars` characters of each class at most, by a
+hash of the text and whatever its length; drawn texts are used whole. Scoring takes long texts in pieces
+that words and windows run across. Null, empty and letterless texts have no window and score as a
 text of neutral windows. Without both classes in training every score is 0. Repeated rows score alike; extra
 columns are carried; a column named score is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quillboard.llm.fitting import draw, logistic
-from quillboard.llm.textnp import gram_hashes, joined, letter_table, map_texts, text_blocks
+from quillboard.llm.textnp import PIECE_CHARS, gram_hashes, joined, letter_table, map_texts, text_blocks
 
 ORDERS = (3, 4, 5, 6)
 #: Windows of a text that its score is made of.
@@ -49,32 +50,50 @@ class ToxicityModel:
     neutral: float = 0.0  # the logit in place of a window that a short text lacks
 
 
-def split_words(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(piece of each word; 64-bit hash of each word; the layout that `grams_of` reads).
+def word_cuts(text: str) -> Iterator[str]:
+    """Pieces of a long text, cut before a character that is no letter or digit: words stay whole."""
+    start = 0
+    while len(text) - start > PIECE_CHARS:
+        found = BETWEEN.search(text, start + PIECE_CHARS)
+        if found is None:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:] if start else text
 
-    A word that repeats the word before it does not count again.
-    """
-    codes, owner = joined(pieces)
-    codes = letter_table(True)[codes]
-    inside = codes != 0
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    starts = np.flatnonzero(begins)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), (codes, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    at = np.flatnonzero(inside)
-    first = np.searchsorted(at, starts)
-    place = (np.arange(len(at)) - np.repeat(first, np.diff(first, append=len(at)))) & 63
-    whole = np.add.reduceat(codes[at].astype(np.uint64) * POWERS[place], first)
-    whole ^= whole >> np.uint64(29)
-    whole *= np.uint64(0xBF58476D1CE4E5B9)
-    length = np.diff(first, append=len(at))
-    piece = owner[starts]
-    new = np.ones(len(starts), dtype=bool)
-    new[1:] = (whole[1:] != whole[:-1]) | (piece[1:] != piece[:-1])
-    return piece[new], whole[new], (codes, starts[new], length[new])
 
+def text_words(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(row of each word; 64-bit hash of each word; the layout that `grams_of` reads), block by block.
 
+    A word that repeats the word before it does not count again.
+    """
+    last = None
+    for rows, pieces in text_blocks(texts, PIECE_CHARS, word_cuts):
+        codes, owner = joined(pieces)
+        codes = letter_table(True)[codes]
+        inside = codes != 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        starts = np.flatnonzero(begins)
+        if not len(starts):
+            continue
+        at = np.flatnonzero(inside)
+        first = np.searchsorted(at, starts)
+        length = np.diff(first, append=len(at))
+        place = (np.arange(len(at)) - np.repeat(first, length)) & 63
+        whole = np.add.reduceat(codes[at].astype(np.uint64) * POWERS[place], first)
+        whole ^= whole >> np.uint64(29)
+        whole *= np.uint64(0xBF58476D1CE4E5B9)
+        row = rows[owner[starts]]
+        new = np.ones(len(starts), dtype=bool)
+        new[1:] = (whole[1:] != whole[:-1]) | (row[1:] != row[:-1])
+        new[0] = (row[0], whole[0]) != last
+        last = row[-1], whole[-1]
+        if new.any():
+            yield row[new], whole[new], (codes, starts[new], length[new])
+
+
+BETWEEN = re.compile(r"[\W_]")
 POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(64)], dtype=np.uint64)
 
 
@@ -95,27 +114,34 @@ def grams_of(layout: tuple[np.ndarray, np.ndarray, np.ndarray], whole: np.ndarra
     return np.concatenate(of), np.concatenate(bucket)
 
 
-def windows(owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word of each window (windows end with their piece), and the piece of each window."""
-    if not len(owner):
+def windows(row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each window (windows end with their text), and the text of each window."""
+    if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.diff(owner, prepend=-1))
-    rank = np.arange(len(owner)) - np.repeat(first, np.diff(first, append=len(owner)))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row)))
     starts = np.flatnonzero(rank % size == 0)
-    return starts, owner[starts]
+    return starts, row[starts]
 
 
 def window_logits(texts: list[str | None], scalars: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, mean word scalar) of each window, block by block."""
-    for rows, pieces in text_blocks(texts):
-        owner, whole, layout = split_words(pieces)
-        if not len(owner):
-            continue
-        n = len(owner)
+    """(row, mean word scalar) of each window, block by block; windows run over the pieces of a long text."""
+
+    def means(row: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, of = windows(row, size)
+        return of, np.add.reduceat(word, starts) / np.maximum(np.diff(starts, append=len(row)), size // 2)
+
+    rows, words = np.zeros(0, np.int64), np.zeros(0)
+    for row, whole, layout in text_words(texts):
         of, bucket = grams_of(layout, whole)
-        word = np.bincount(of, weights=scalars[bucket], minlength=n) / np.bincount(of, minlength=n)
-        starts, piece = windows(owner, size)
-        yield rows[piece], np.add.reduceat(word, starts) / np.maximum(np.diff(starts, append=n), size // 2)
+        word = np.bincount(of, weights=scalars[bucket], minlength=len(row)) / np.bincount(of, minlength=len(row))
+        rows, words = np.concatenate([rows, row]), np.concatenate([words, word])
+        ended = int(np.searchsorted(rows, rows[-1]))  # the last text may go on in the next block
+        if ended:
+            yield means(rows[:ended], words[:ended])
+            rows, words = rows[ended:], words[ended:]
+    if len(rows):
+        yield means(rows, words)
 
 
 def highest(row: np.ndarray, value: np.ndarray, n: int, into: np.ndarray) -> None:
@@ -146,136 +172,149 @@ def score_texts(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(pool(model, top, many) @ model.pooling, -60, 60)))
 
 
-def train(texts: list[str], toxic: list[int], window: int = 2, dim: int = 12, epochs: int = 10, rate: float = 0.3, min_docs: int = 3, seed: int = 5) -> ToxicityModel:
-    """Fit embeddings and softmax; a fifth of the texts is held back to calibrate the score."""
-    rng = np.random.default_rng(seed)
-    y = np.asarray(toxic, dtype=np.int64)
-    size = 2 * WORDS
-    if not len(y) or y.min() == y.max():
-        return ToxicityModel(np.zeros(size), 0.0, window, None)
-    # words of all texts by number; the grams of each distinct word once, in the order of their words
-    owners, wholes, words, buckets, counts = [], [], [], [], []
+@dataclass
+class _Words:
+    """The words of all training texts: of each, its text and number; of each distinct word, its grams."""
+
+    row: np.ndarray
+    word: np.ndarray
+    bucket: np.ndarray
+    per_word: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.first_gram = np.concatenate([[0], np.cumsum(self.per_word)])
+
+    def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(grams of each word in a row, how many each word has)."""
+        many = self.per_word[words]
+        return self.bucket[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(self.first_gram[words], many)], many
+
+
+def _words(texts: list[str]) -> _Words | None:
+    rows, wholes, words, buckets, counts = [], [], [], [], []
     known = np.zeros(0, np.uint64)
-    for rows, pieces in text_blocks(texts):
-        owner, whole, layout = split_words(pieces)
-        if not len(owner):
-            continue
+    for row, whole, layout in text_words(texts):
         distinct, at = np.unique(whole, return_index=True)
-        new = ~np.isin(distinct, known, assume_unique=True)
+        place = np.searchsorted(known, distinct)
+        new = np.append(known, distinct[-1] + np.uint64(1))[place] != distinct
         of, bucket = grams_of(layout, whole, at[new])
         buckets.append(bucket[np.argsort(of, kind="stable")])
         counts.append(np.bincount(of, minlength=int(new.sum())).astype(np.int32))
-        owners.append(rows[owner].astype(np.int32))
+        rows.append(row.astype(np.int32))
         wholes.append(whole)
         words.append(distinct[new])
-        known = np.union1d(known, distinct[new])
-    if not owners:
-        return ToxicityModel(np.zeros(size), 0.0, window, None)
-    owner, words, bucket, per_word = (np.concatenate(x) for x in (owners, words, buckets, counts))
-    by_name = np.argsort(words)
-    word_of = np.concatenate([by_name[np.searchsorted(words, x, sorter=by_name)].astype(np.int32) for x in wholes])
-    first_gram = np.concatenate([[0], np.cumsum(per_word)])
-    base = len(word_of)
-    del owners, wholes, buckets, counts, known, words
-    starts, doc = windows(owner, window)
-    ends = np.append(starts[1:], base)
+        known = np.insert(known, place[new], distinct[new])
+    if not rows:
+        return None
+    names = np.concatenate(words)
+    by_name = np.argsort(names)
+    number = np.concatenate([by_name[np.searchsorted(names, x, sorter=by_name)].astype(np.int32) for x in wholes])
+    return _Words(np.concatenate(rows), number, np.concatenate(buckets), np.concatenate(counts))
+
+
+def _embed(data: _Words, y: np.ndarray, learn: np.ndarray, starts: np.ndarray, doc: np.ndarray, window: int, dim: int, epochs: int, rate: float, shrink: float, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Scalars of all buckets and the bias, from embeddings and softmax trained on the texts in `learn`."""
+    size, ends = 2 * WORDS, np.append(starts[1:], len(data.word))
     divisor = np.maximum(ends - starts, window // 2)
-
-    held = rng.random(len(y)) < 0.25
-    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held[:] = False
-    learn = ~held
-    # log-odds of a bucket: in how many toxic and clean texts it occurs
+    # log-odds of a bucket: in how many toxic and clean texts it occurs, drawn to 0 where few hold it
     seen = np.full((2, size), 0.5)
-    edges = np.searchsorted(owner, np.arange(len(y) + 1))
+    edges = np.searchsorted(data.row, np.arange(len(y) + 1))
     for d in np.flatnonzero(learn):
-        mine = np.unique(word_of[edges[d] : edges[d + 1]])
-        if len(mine):
-            many = per_word[mine]
-            at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_gram[mine], many)
-            seen[y[d], np.unique(bucket[at])] += 1
+        held = np.zeros(size, dtype=bool)
+        held[data.grams(data.word[edges[d] : edges[d + 1]])[0]] = True
+        seen[y[d]] += held
     n = np.array([(learn & (y == k)).sum() for k in (0, 1)])[:, None] + 1.0
     odds = np.log(seen[1] / n[1]) - np.log(seen[0] / n[0])
     known = seen.sum(axis=0) - 1
-    odds *= known / (known + 4)
-    known = known >= min_docs  # what fewer texts hold would be learned by heart; it stays at 0
-
+    trust = known / (known + shrink)
     direction = rng.normal(size=dim)
     direction /= np.linalg.norm(direction)
-    vectors = (rng.normal(scale=0.05, size=(size, dim)) + odds[:, None] * direction) * known[:, None]
+    vectors = (rng.normal(scale=0.05, size=(size, dim)) + odds[:, None] * direction) * trust[:, None]
     softmax = np.stack([-direction, direction], axis=1)  # dim x 2
     bias = np.zeros(2)
     squares_v, squares_w, squares_b = np.full(size, 1e-6), np.full_like(softmax, 1e-6), np.full(2, 1e-6)
     by_doc = np.searchsorted(doc, np.arange(len(y) + 1))
     has = np.flatnonzero(learn & (np.diff(by_doc) > 0))
     weight = np.where(y == 1, min(4.0, 0.5 / max(1e-9, float((y[has] == 1).mean()))), 1.0)
-
-    def means() -> np.ndarray:
-        scalar = vectors @ (softmax[:, 1] - softmax[:, 0])
-        word = np.add.reduceat(scalar[bucket], first_gram[:-1]) / per_word
-        return np.add.reduceat(word[word_of], starts) / divisor
-
     for epoch in range(epochs):
-        mean = means()
-        pick, label, share = [], [], []
-        order = np.lexsort((-mean, doc))
-        for d in has:
-            a, b = by_doc[d], by_doc[d + 1]
-            best = order[a : min(a + TOP, b)]  # windows of a text stand together
-            pick.extend(best)
-            label.extend([y[d]] * len(best))
-            if y[d] == 1:  # the first counts in full, the others as far as they look toxic already
-                z = mean[best] + bias[1] - bias[0]
-                belief = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                belief[0] = 1.0
-                share.extend(weight[d] * belief)
-            else:
-                share.extend([weight[d] / len(best)] * len(best))
-                pick.append(int(rng.integers(a, b)))
-                label.append(0)
-                share.append(weight[d] / 2)
-        pick, label, share = np.array(pick), np.array(label), np.array(share)
+        mean = _means(data, vectors @ (softmax[:, 1] - softmax[:, 0]), starts, divisor)
+        order = np.lexsort((-mean, doc))  # windows of a text stand together, highest first
+        rank = np.arange(len(order)) - by_doc[doc[order]]
+        best = order[(rank < TOP) & learn[doc[order]]]
+        rank = rank[(rank < TOP) & learn[doc[order]]]
+        toxic, many = y[doc[best]] == 1, np.minimum(np.diff(by_doc), TOP)[doc[best]]
+        # the first window of a toxic text counts in full, the others as far as they look toxic already
+        belief = np.where(rank == 0, 1.0, 1 / (1 + np.exp(-np.clip(mean[best] + bias[1] - bias[0], -30, 30))))
+        clean = has[y[has] == 0]
+        some = rng.integers(by_doc[clean], by_doc[clean + 1])
+        pick, label = np.concatenate([best, some]), np.concatenate([toxic.astype(np.int64), np.zeros(len(some), np.int64)])
+        share = np.concatenate([weight[doc[best]] * np.where(toxic, belief, 1 / many), weight[clean] / 2])
         shuffle = rng.permutation(len(pick))
         step = rate / (1 + epoch / 4)
         for i in range(0, len(shuffle), 256):
             take = shuffle[i : i + 256]
             w, t = pick[take], label[take]
             n_words = ends[w] - starts[w]
-            at = np.concatenate([word_of[starts[k] : ends[k]] for k in w])
+            at = data.word[np.arange(n_words.sum()) - np.repeat(np.cumsum(n_words) - n_words, n_words) + np.repeat(starts[w], n_words)]
             in_window = np.repeat(np.arange(len(w)), n_words)
-            many = per_word[at]
-            grams = bucket[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first_gram[at], many)]
-            coef = np.repeat(1 / (many * divisor[w][in_window]), many)
-            gram_window = np.repeat(in_window, many)
-            ids, back = np.unique(grams, return_inverse=True)
-            mix = np.zeros((len(w), len(ids)), dtype=np.float64)
-            np.add.at(mix, (gram_window, back), coef)
-            x = mix @ vectors[ids]
+            grams, many = data.grams(at)
+            coef, of = np.repeat(1 / (many * divisor[w][in_window]), many), np.repeat(in_window, many)
+            x = np.add.reduceat(vectors[grams] * coef[:, None], np.searchsorted(of, np.arange(len(w))))
             z = x @ softmax + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(t)), t] -= 1
             p *= share[take][:, None] / len(t)
-            g_w, g_b, g_v = x.T @ p + 1e-5 * softmax, p.sum(axis=0), mix.T @ (p @ softmax.T)
+            by_gram = np.argsort(grams, kind="stable")
+            first = np.flatnonzero(np.diff(grams[by_gram], prepend=-1))
+            ids = grams[by_gram[first]]
+            g_v = np.add.reduceat(((p @ softmax.T)[of] * coef[:, None])[by_gram], first)
+            g_w, g_b = x.T @ p + 1e-5 * softmax, p.sum(axis=0)
             squares_w += g_w**2
             squares_b += g_b**2
             squares_v[ids] += (g_v**2).mean(axis=1)
             softmax -= step * 0.1 * g_w / np.sqrt(squares_w)
             bias -= step * 0.1 * g_b / np.sqrt(squares_b)
-            vectors[ids] -= step * known[ids, None] * g_v / np.sqrt(squares_v[ids])[:, None]
-    scalars = vectors @ (softmax[:, 1] - softmax[:, 0])
-    model = ToxicityModel(scalars, float(bias[1] - bias[0]), window, None)
-    mean = means()
-    model.neutral = float(np.median(mean[y[doc] == 0]) + model.bias) if (y[doc] == 0).any() else model.bias
-    # a curve over few toxic texts is fitted on all of them
-    on = np.flatnonzero(held if y[held].sum() >= FEW else np.ones(len(y), dtype=bool))
+            vectors[ids] -= step * trust[ids, None] * g_v / np.sqrt(squares_v[ids])[:, None]
+    return vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0])
+
+
+def _means(data: _Words, scalar: np.ndarray, starts: np.ndarray, divisor: np.ndarray) -> np.ndarray:
+    word = np.add.reduceat(scalar[data.bucket], data.first_gram[:-1]) / data.per_word
+    return np.add.reduceat(word[data.word], starts) / divisor
+
+
+def train(texts: list[str], toxic: list[int], window: int = 2, dim: int = 12, epochs: int = 10, rate: float = 0.3, shrink: float = 4.0, seed: int = 5) -> ToxicityModel:
+    """Fit embeddings, softmax and the curve of the score.
+
+    The curve is fitted on a quarter of the texts, which the embeddings do not see; where that quarter
+    holds fewer than FEW toxic texts, it is fitted on all texts.
+    """
+    rng = np.random.default_rng(seed)
+    y = np.asarray(toxic, dtype=np.int64)
+    nothing = ToxicityModel(np.zeros(2 * WORDS), 0.0, window, None)
+    data = _words(texts) if len(y) and y.min() != y.max() else None
+    if data is None:
+        return nothing
+    starts, doc = windows(data.row, window)
+    divisor = np.maximum(np.diff(starts, append=len(data.word)), window // 2)
+    held = rng.random(len(y)) < 0.25
+    if y[held].sum() < FEW or len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+        held[:] = False
+    scalars, bias = _embed(data, y, ~held, starts, doc, window, dim, epochs, rate, shrink, rng)
+    mean = _means(data, scalars, starts, divisor)
+    neutral = float(np.median(mean[y[doc] == 0]) + bias) if (y[doc] == 0).any() else bias
+    model = ToxicityModel(scalars, bias, window, None, neutral)
+    on = np.flatnonzero(held if held.any() else ~held)
     top = np.full((len(y), TOP), -np.inf)
     highest(doc, mean, len(y), top)
-    model.pooling = logistic(pool(model, top[on], np.diff(by_doc)[on]), y[on], rising=TOP)
+    many = np.diff(np.searchsorted(doc, np.arange(len(y) + 1)))
+    model.pooling = logistic(pool(model, top[on], many[on]), y[on], rising=TOP)
     return model
 
 
-def fit(df: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 20_000, seed: int = 5, **how) -> ToxicityModel:
+def fit(df: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 4000, max_chars: int = 10_000_000, seed: int = 5, **how) -> ToxicityModel:
+    """Learn from about `max_rows` whole texts and `max_chars` characters of each class at most."""
     texts, labels = draw(df, text_col, label_col, max_rows, max_chars, seed)
     return train(texts, labels, seed=seed, **how)
 

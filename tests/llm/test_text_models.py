@@ -2,22 +2,33 @@
 
 import os
 import random
+import resource
+import struct
 
 import numpy as np
 import pytest
 
-from quillboard.llm import langid, quality_crf, toxicity, unigram
-from quillboard.llm.textnp import split_long, text_blocks
+from quillboard.llm import fitting, langid, minhash, quality_crf, textnp, toxicity, unigram
 
 ODD = [None, "", " ", "\n\n", "\u0000", "123 !?", "x", "a" * 3000, "日本語 テキスト", "😀" * 50, "é̀", "word " * 50_000]
 DOCS = "doc_id bigint, text string, lang string, score string"
 
 
-def test_long_texts_are_taken_in_whole_pieces():
-    text = "ab cd " * 1000 + "x" * 5000
-    assert "".join(split_long(text, 700)) == text
-    blocks = list(text_blocks([text, None, "y"], 300, 700))
-    assert "".join(p for rows, pieces in blocks for r, p in zip(rows, pieces, strict=True) if r == 0) == text
+@pytest.fixture
+def small_pieces(monkeypatch):
+    def set_to(n):
+        for module in (textnp, langid, toxicity, unigram):
+            monkeypatch.setattr(module, "PIECE_CHARS", n, raising=False)
+
+    return set_to
+
+
+MIXED = ["ab cd " * 40 + "x" * 333, "a word, a word a word;" * 30, "tok  tok tok\n" * 30 + "ri" * 200, None, "", "one", " lead and trail  ", "é▁日本 😀 " * 20]
+
+
+def test_blocks_hold_whole_texts_in_order():
+    blocks = list(textnp.text_blocks(["abcdef" * 10, None, "y"], 20, lambda t: [t[:33], t[33:]]))
+    assert "".join(p for rows, pieces in blocks for r, p in zip(rows, pieces, strict=True) if r == 0) == "abcdef" * 10
 
 
 # -- language --------------------------------------------------------------------------------------------
@@ -63,6 +74,23 @@ def test_grams_of_a_text_are_all_counted():
     assert whole.sum() == 400 * 2 * (5 + 6 + 5)  # 1-, 2- and 3-grams of a word of five letters
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 50, 333])
+def test_gram_counts_do_not_depend_on_pieces(piece):
+    def counted(most):
+        total = np.zeros((len(MIXED), 1 << 12))
+        for rows, indptr, indices, counts in langid.sparse_counts(MIXED, 1 << 12, most):
+            for i, row in enumerate(rows):
+                np.add.at(total[row], indices[indptr[i] : indptr[i + 1]], counts[indptr[i] : indptr[i + 1]])
+        return total
+
+    assert np.array_equal(counted(1 << 17), counted(piece))
+
+
+def test_too_many_languages_raise(spark):
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame([(i, "la", f"l{i}", None) for i in range(5)], DOCS), max_languages=4)
+
+
 def test_odd_texts_and_no_training(spark):
     df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(ODD)], DOCS)
     nothing = langid.fit(df)
@@ -119,6 +147,23 @@ def test_neighbouring_lines_are_features():
     assert not np.allclose(alone, quality_crf.evidence(model.weights, model.bias, first, bins))
 
 
+@pytest.mark.parametrize("piece", [1, 3, 20, 200])
+def test_line_features_do_not_depend_on_pieces(piece):
+    texts = [t or "" for t in MIXED] + quality_rows(4, 10)[0]
+    for whole, cut in zip(quality_crf.line_features(texts), quality_crf.line_features(texts, piece), strict=True):
+        assert np.array_equal(whole, cut)
+
+
+def test_long_labelled_texts_are_drawn_whole(spark):
+    rows = [("good text here. " * 5000, 1)] * 3 + [("bad | | bad", 0)] * 3
+    texts, labels = fitting.draw(spark.createDataFrame(rows, "text string, y int"), "text", "y", 100, 10_000_000, 3)
+    assert sorted(zip(texts, labels, strict=True)) == sorted(rows)
+    few, _ = fitting.draw(spark.createDataFrame([(f"{i} " + "x" * 1000, i % 2) for i in range(400)], "text string, y int"), "text", "y", 400, 50_000, 3)
+    assert 50 < len(few) < 160 and all(len(t) > 1000 for t in few)  # about 50 of each class
+    with pytest.warns(UserWarning):
+        fitting.draw(spark.createDataFrame([("a", 1)], "text string, y int"), "text", "y", 10, 100, 3)
+
+
 def test_quality_of_odd_texts_in_spark(spark):
     model = quality_crf.train(*quality_rows(1, 100))
     df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate([*ODD, ODD[-1]])], DOCS)
@@ -172,7 +217,7 @@ def test_few_words_count_in_a_long_text(toxic_model):
 
 
 def test_folded_scalars_equal_averaged_vectors(toxic_model):
-    owner, whole, layout = toxicity.split_words(["Frobnak the the THE zwixly"])
+    owner, whole, layout = next(toxicity.text_words(["Frobnak the the THE zwixly"]))
     assert len(owner) == 3  # repeats count once
     of, bucket = toxicity.grams_of(layout, whole)
     word = np.bincount(of, weights=toxic_model.scalars[bucket]) / np.bincount(of)
@@ -180,6 +225,14 @@ def test_folded_scalars_equal_averaged_vectors(toxic_model):
     assert np.allclose(mean, [(word[0] + word[1]) / 2, word[2]]) and list(rows) == [0, 0]
 
 
+@pytest.mark.parametrize("piece", [1, 2, 7, 64])
+def test_toxicity_does_not_depend_on_pieces(toxic_model, small_pieces, piece):
+    texts = [*MIXED, *toxic_rows(5, 20)[0]]
+    whole = toxicity.score_texts(toxic_model, texts)
+    small_pieces(piece)
+    assert np.allclose(whole, toxicity.score_texts(toxic_model, texts), atol=1e-12)
+
+
 def test_toxicity_of_odd_texts_in_spark(spark, toxic_model):
     df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate([*ODD, ODD[-1]])], DOCS)
     got = {r.doc_id: r.score for r in toxicity.predict(df, toxic_model).collect()}
@@ -203,7 +256,7 @@ def model():
 def best_score(model, text):
     """Dynamic programming over all pieces, one by one."""
     pieces = {model.pieces[i]: model.score[i] for i in range(len(model.pieces)) if model.kinds[i] in (unigram.NORMAL, unigram.USER)}
-    text = unigram.MARK + text.replace(" ", unigram.MARK)
+    text = unigram.MARK + text.replace(unigram.MARK, "\0").replace(" ", unigram.MARK)  # no piece holds a zero
     best = [0.0] + [-np.inf] * len(text)
     for i in range(len(text)):
         for j in range(i + 1, min(len(text), i + model.longest) + 1):
@@ -226,7 +279,7 @@ def test_scores_are_the_best_possible(model):
 
 
 @needs_model
-def test_agrees_with_the_library_lattice(model):
+def test_agrees_with_the_library_lattice(tmp_path):
     spm = pytest.importorskip("sentencepiece")
     with open(PATH, "rb") as f:
         data = f.read()
@@ -237,11 +290,16 @@ def test_agrees_with_the_library_lattice(model):
             out, x = out + bytes([x & 127 | 128]), x >> 7
         return out + bytes([x])
 
-    out, i = b"", 0
-    while i < len(data):  # the same file, marked as a unigram model
+    scores = unigram.build(PATH).score
+    out, i, piece = b"", 0, 0
+    while i < len(data):  # the same file, marked as a unigram model, with log scores
         key, i = unigram._varint(data, i)
         n, i = unigram._varint(data, i)
         body, i = data[i : i + n], i + n
+        if key >> 3 == 1:
+            fields = dict(unigram._fields(body))
+            body = b"\x0a" + varint(len(fields[1])) + fields[1] + b"\x15" + struct.pack("<f", scores[piece]) + b"\x18" + varint(fields.get(3, 1))
+            piece += 1
         if key >> 3 == 2:
             at = 0
             while at < len(body):
@@ -255,10 +313,15 @@ def test_agrees_with_the_library_lattice(model):
                 else:
                     at = unigram._varint(body, after)[1] if k & 7 == 0 else after + (4 if k & 7 == 5 else 8)
         out += varint(key) + varint(len(body)) + body
+    path = tmp_path / "unigram.model"
+    path.write_bytes(out)
+    model = unigram.build(str(path))
+    assert np.allclose(model.score, scores, atol=1e-5)  # a unigram model's scores are taken as they are
     library = spm.SentencePieceProcessor(model_proto=out)
     texts = ["Hello world", "the of and", "retitioning ouen", "élan vital", "a  b   c"]
     for text, ids in zip(texts, unigram.Coder(model).encode(texts), strict=True):
         theirs = library.nbest_encode_as_ids(text, 2)[0]
+        assert ids.tolist() == library.encode(text)
         assert sum(model.score[i] for i in ids) == pytest.approx(sum(model.score[i] for i in theirs)), text
 
 
@@ -266,11 +329,30 @@ def test_agrees_with_the_library_lattice(model):
 def test_round_trip_and_remembered_words(model):
     coder = unigram.Coder(model)
     first = [x.tolist() for x in coder.encode(TEXTS)]
-    assert [coder.decode(np.array(x, dtype=np.int32)) for x in first] == [unigram.round_trip_form(t) for t in TEXTS]
+    assert [coder.decode(np.array(x, dtype=np.int32)) for x in first] == TEXTS
     assert [x.tolist() for x in coder.encode(TEXTS)] == first
     assert [unigram.Coder(model).encode([t])[0].tolist() for t in TEXTS] == first
 
 
+@needs_model
+def test_scores_are_log_probabilities_and_words_stay_whole(model):
+    used = [i for i, k in enumerate(model.kinds) if k == unigram.NORMAL]
+    assert np.exp(model.score[used]).sum() == pytest.approx(1)
+    ids = unigram.Coder(model).encode(["The quick brown fox jumps over the lazy dog"])[0]
+    assert len(ids) == 11  # as many as by the model's own merges
+
+
+@needs_model
+@pytest.mark.parametrize("piece", [1, 2, 5, 40])
+def test_coding_does_not_depend_on_pieces(model, small_pieces, piece, monkeypatch):
+    texts = [t for t in [*TEXTS, *MIXED] if t is not None]
+    whole = [x.tolist() for x in unigram.Coder(model).encode(texts)]
+    small_pieces(piece)
+    monkeypatch.setattr(unigram, "STRETCH", 97)
+    coder = unigram.Coder(model)
+    assert [x.tolist() for x in coder.encode(texts)] == whole and all(coder.code_long(t)[1] for t in texts)
+
+
 @needs_model
 def test_double_array_walks(model):
     for i in range(259, len(model.pieces), 97):
@@ -289,3 +371,23 @@ def test_coding_in_spark(spark, model):
     assert got[len(TEXTS)].ids is None and got[len(TEXTS)].round_trip is None
     assert all(got[i].round_trip and got[i].n_tokens == len(got[i].ids) for i in range(len(TEXTS))) and got[0].ids == []
     assert unigram.encode_column(df.limit(0), model).count() == 0
+
+
+# -- very long texts -----------------------------------------------------------------------------------------
+@needs_model
+def test_ten_megabytes_in_one_text(model, toxic_model):
+    """Each operator takes a text of 10 MB within some hundred MB, and gives what it should."""
+    lines = ("Katok risha leme ntou, katok tok sha.\n" * 300 + "one more line here | with words\n") * 860
+    assert len(lines) > 9_500_000
+    bought = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    names, scores = langid.score_texts(langid.LanguageModel(["a", "b"], np.log([0.5, 0.5]), np.zeros((1 << 15, 2), np.float32)), [lines])
+    assert names == ["a"] and scores[0] == pytest.approx(0.5)
+    score, good, many = quality_crf.score_texts(quality_crf.train(*quality_rows(1, 60)), [lines, lines[:40_000]])
+    assert many[0] == lines.count("\n") and good[0] <= many[0] and 0 <= score[0] <= 1
+    coder = unigram.Coder(model)
+    ids, same = coder.code_long(lines)
+    assert same and coder.decode(np.frombuffer(ids, dtype=np.int32)) == lines
+    assert toxicity.score_texts(toxic_model, [lines + " frobnak zwixly quorvex frobnak"])[0] > toxicity.score_texts(toxic_model, [lines])[0]
+    hashes, ends = minhash.shingles([lines.encode()], 5)
+    assert len(hashes) == ends[-1] == len(lines.split()) - 4
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - bought < 900_000  # KB
