@@ -7,10 +7,12 @@ permutation would be. Each group permutes its rows and deals them out by its row
 exchange); each shard then permutes what it received. Rows, shard and slot together are a uniform
 random permutation of the table.
 
-Only (group, counts) reaches the driver: at most max_groups x shards integers, whatever the input.
-Both permutations are split into bounded pieces: a group by its place in the table, a shard into
-`pieces` by a keyed hash of that place, with prefix sums over the pieces' counts. Since places, and
-not values, are dealt, no key, source or group of copies makes one task larger than another.
+Draws follow the exact law at every size, as far as doubles resolve it: from 10^9 rows on, where numpy's
+sampler ends, the distribution is inverted. Only (group, counts) reaches the driver: about `max_cells`
+integers at most, whatever the input. Both permutations are split: the first by group, that is by
+physical partition, the second into `pieces` of a shard by a keyed hash of the row's place, with prefix
+sums over the pieces' counts. Since places, and not values, are dealt, no key, source or group of copies
+makes one task larger than another.
 
 The rows are written once to the shared checkpoint folder, so that a task that is run again sees the
 same places. Edge cases: an empty table gives an empty result; nulls, ties and repeated rows are
@@ -20,8 +22,6 @@ replaced.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,24 +79,27 @@ def _inverted(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
     return low + min(int(np.searchsorted(below, rng.random() * below[-1], side="right")), len(k))
 
 
-def hypergeometric_shards(df: DataFrame, shards: int, seed: int = 0, max_groups: int = 2048, rows_per_piece: int = 200_000) -> DataFrame:
-    """`df` with two more columns: shard (0..shards-1) and slot (gapless from 0 in each shard)."""
+def hypergeometric_shards(df: DataFrame, shards: int, seed: int = 0, max_groups: int = 2048, max_cells: int = 1 << 20, rows_per_piece: int = 200_000) -> DataFrame:
+    """`df` with two more columns: shard (0..shards-1) and slot (gapless from 0 in each shard).
+
+    The matrix has `max_groups` rows and about `max_cells` cells at most: with many shards, groups are fewer.
+    """
     if shards < 1:
         raise ValueError("shards must be positive")
+    most = max(1, min(max_groups, max_cells // shards))
     placed = cut(df.withColumn(P, F.monotonically_increasing_id()).withColumn(G, F.spark_partition_id()))
     # AQE may read the written rows in other partitions: the place that was written with a row holds
-    placed = placed.withColumn(G, (F.col(G) % F.lit(max_groups)).cast("int"))
-    counted = {r[G]: r["n"] for r in placed.groupBy(G).agg(F.count(F.lit(1)).alias("n")).collect()}  # max_groups rows at most
+    placed = placed.withColumn(G, (F.col(G) % F.lit(most)).cast("int"))
+    counted = {r[G]: r["n"] for r in placed.groupBy(G).agg(F.count(F.lit(1)).alias("n")).collect()}  # `most` rows
     groups = sorted(counted)
     n = sum(counted.values())
     sizes = [n // shards + (j < n % shards) for j in range(shards)]
     matrix = communication_matrix([counted[g] for g in groups], sizes, seed)
-    ends = {str(g): np.cumsum(row).tolist() for g, row in zip(groups, matrix, strict=True)}
-    spark = df.sparkSession
-    sent = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(ends)), "map<string,array<bigint>>")).alias(G, "__qb_ends")).withColumn(G, F.col(G).cast("int"))
+    # one row for each group meets rows that are dealt by group for their permutation anyway
+    sent = df.sparkSession.createDataFrame([(g, np.cumsum(row).tolist()) for g, row in zip(groups, matrix, strict=True)], f"{G} int, __qb_ends array<bigint>")
 
     shuffled = Window.partitionBy(G).orderBy(F.xxhash64(F.lit(seed), F.lit(1), P), P)
-    dealt = placed.withColumn(R, F.row_number().over(shuffled)).join(F.broadcast(sent), G)
+    dealt = placed.withColumn(R, F.row_number().over(shuffled)).join(sent, G)
     dealt = dealt.withColumn(S, F.size(F.filter("__qb_ends", lambda end: end < F.col(R)))).drop("__qb_ends", R, G)
 
     pieces = max(1, -(-n // (shards * rows_per_piece)), -(-len(groups) * 2 // shards))
