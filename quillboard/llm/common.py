@@ -67,16 +67,16 @@ def maybe_broadcast(df: DataFrame, rows: int, most: int | None = None) -> DataFr
     return F.broadcast(df) if rows <= (BROADCAST_ROWS if most is None else most) else df
 
 
-def join_hot(df: DataFrame, few: DataFrame, key: str, by: str, rows: int, how: str = "inner") -> DataFrame:
+def join_hot(df: DataFrame, few: DataFrame, key: str, by: str | list[str], rows: int, how: str = "inner") -> DataFrame:
     """`df` joined with `few`, one row for each key, where a key of `df` may be hot.
 
     A measured small `few` is broadcast. Otherwise the rows of each key are dealt into SALTS parts by a
-    hash of the column `by`, and `few` is sent to each part.
+    hash of the columns `by`, and `few` is sent to each part.
     """
     if rows <= BROADCAST_ROWS:
         return df.join(F.broadcast(few), key, how)
     salt = "__qb_salt"
-    left = df.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    left = df.withColumn(salt, F.pmod(F.xxhash64(*([by] if isinstance(by, str) else by)), F.lit(SALTS)).cast("int"))
     right = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [key, salt], how).drop(salt)
 

@@ -5,13 +5,15 @@ whole: the labels of its host, and the path segments that a slash closes. Every
 the one of its tokens that the fewest URLs hold. A URL's own tokens fetch candidate rules from that
 index; only those run their regular expression; the longest rule that fits decides.
 
-All of it is one narrow projection in the JVM: no shuffle, no join, no Python. The index holds rules
-only, so its size does not grow with the table. Rules without any whole token are candidates for
-every URL.
+All of it runs in the JVM. Few rules are one narrow projection, without shuffle or join, each pattern a
+literal; many rules are a table, joined by token with the distinct URLs (broadcast where it is measured
+small). Rules without any whole token are candidates for every URL.
 
 Edge cases: a null URL, or one without `://`, has an empty host and path and takes the default verdict
-with a null rule; an empty rule list gives the default everywhere; repeated rows are judged alike;
-extra columns are carried by `judge` after its own five.
+with a null rule; an empty rule list gives the default everywhere; repeated rows are judged alike; of
+fitting rules of equal length the alphabetically last wins; of rules with the same host and path the last
+of the list counts; extra columns are carried by `judge` after its own five, and replaced where they have
+one of their names. URLs of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillboard.llm.common import cut, join_hot, maybe_broadcast
+
 
 @dataclass(frozen=True)
 class UrlRule:
@@ -85,43 +89,56 @@ def token_counts(urls: DataFrame, rules: Sequence[UrlRule]) -> dict[str, int]:
     return {t: counts.get(t, 0) for t in wanted}
 
 
-def judge(df: DataFrame, rules: Sequence[UrlRule], url_col: str = "url", default: str = "allow") -> DataFrame:
-    """host, path, rule, verdict, n_candidates for every row, before the columns of `df` not so named."""
+def file_rules(rules: Sequence[UrlRule], counts: dict[str, int]) -> list[str | None]:
+    """The token that each rule is filed under: that which the fewest URLs hold; None for a rule without any."""
+    return [min(r.tokens(), key=lambda t: (counts[t], t)) if r.tokens() else None for r in rules]
+
+
+def judge(df: DataFrame, rules: Sequence[UrlRule], url_col: str = "url", default: str = "allow", inline_rules: int = 64) -> DataFrame:
+    """host, path, rule, verdict, n_candidates for every row, before the columns of `df` not so named.
+
+    Up to `inline_rules` rules are part of one narrow projection; more are a table that the tokens of the
+    distinct URLs are joined with. Both give the same.
+    """
     rules = list({r.text: r for r in rules}.values())
     url = F.col(f"`{url_col}`")
     own = ("host", "path", "rule", "verdict", "n_candidates")
     held = [F.col(f"`{c}`") for c in df.columns if c not in own]
     urls = df.select(url_host(url).alias("host"), url_path(url).alias("path"), *held)
-    counts = token_counts(urls, rules)
-    filed: dict[str, list[int]] = {}
-    open_rules = []
-    for i, rule in enumerate(rules):
-        tokens = rule.tokens()
-        if tokens:
-            filed.setdefault(min(tokens, key=lambda t: (counts[t], t)), []).append(i)
-        else:
-            open_rules.append(i)
-    whole = F.concat("host", "path")
-    always = F.array(*[F.lit(i) for i in open_rules]).cast("array<int>")
-    if filed:
-        index = F.create_map(*[x for t, ids in sorted(filed.items()) for x in (F.lit(t), F.array(*[F.lit(i) for i in ids]))])
-        fetched = F.transform(url_tokens(F.col("host"), F.col("path")), lambda t: F.coalesce(index[t], F.array().cast("array<int>")))
-        candidates = F.array_distinct(F.concat(F.flatten(fetched), always))
-    else:
-        candidates = always
-    table = F.array(*[F.struct(F.lit(r.regex()).alias("regex"), F.lit(r.text).alias("text"), F.lit(r.verdict).alias("verdict")) for r in rules]) if rules else None
-    if table is None:
-        best = F.lit(None).cast("struct<length:int,text:string,verdict:string>")
-    else:
-        # the table's fields are fetched by place, for candidates only
-        fits = F.filter("__qb_candidates", lambda i: F.rlike(whole, table[i]["regex"]))
-        best = F.array_max(F.transform(fits, lambda i: F.struct(F.length(table[i]["text"]).alias("length"), table[i]["text"].alias("text"), table[i]["verdict"].alias("verdict"))))
-    out = urls.withColumn("__qb_candidates", candidates).withColumn("__qb_best", best)
-    return out.select(
+    filed = file_rules(rules, token_counts(urls, rules))
+    found = _inline(urls, rules, filed) if len(rules) <= inline_rules else _joined(urls, rules, filed)
+    return found.select(
         "host",
         "path",
         F.col("__qb_best")["text"].alias("rule"),
         F.coalesce(F.col("__qb_best")["verdict"], F.lit(default)).alias("verdict"),
-        F.size("__qb_candidates").alias("n_candidates"),
+        F.col("__qb_candidates").cast("int").alias("n_candidates"),
         *held,
     )
+
+
+def _inline(urls: DataFrame, rules: Sequence[UrlRule], filed: Sequence[str | None]) -> DataFrame:
+    """`urls` with __qb_best and __qb_candidates; each pattern is a literal, compiled once."""
+    urls = urls.withColumn("__qb_tokens", url_tokens(F.col("host"), F.col("path")))
+    whole, none = F.concat("host", "path"), F.lit(None).cast("struct<length:int,text:string,verdict:string>")
+    best, many = [none], F.lit(0)
+    for rule, token in zip(rules, filed, strict=True):
+        candidate = F.lit(True) if token is None else F.array_contains("__qb_tokens", F.lit(token))
+        value = F.struct(F.lit(len(rule.text)).alias("length"), F.lit(rule.text).alias("text"), F.lit(rule.verdict).alias("verdict"))
+        best.append(F.when(candidate & F.rlike(whole, F.lit(rule.regex())), value))
+        many = many + candidate.cast("int")
+    return urls.withColumns({"__qb_best": F.array_max(F.array(*best)), "__qb_candidates": many})
+
+
+def _joined(urls: DataFrame, rules: Sequence[UrlRule], filed: Sequence[str | None]) -> DataFrame:
+    """The same by a rule table: only distinct URLs are joined, and only those with candidates come back."""
+    everywhere = "any"  # no URL token has this form
+    rows = [(everywhere if t is None else t, r.regex(), len(r.text), r.text, r.verdict) for r, t in zip(rules, filed, strict=True)]
+    table = urls.sparkSession.createDataFrame(rows, "token string, regex string, length int, text string, verdict string")
+    known = urls.select("host", "path").distinct()
+    tokens = known.select("host", "path", F.explode(F.concat(url_tokens(F.col("host"), F.col("path")), F.array(F.lit(everywhere)))).alias("token"))
+    value = F.when(F.rlike(F.concat("host", "path"), F.col("regex")), F.struct("length", "text", "verdict"))
+    judged = tokens.join(maybe_broadcast(table, len(rows)), "token").groupBy("host", "path").agg(F.max(value).alias("__qb_best"), F.count(F.lit(1)).alias("__qb_candidates"))
+    judged = cut(judged.select(F.struct("host", "path").alias("__qb_url"), "__qb_best", "__qb_candidates"))
+    keyed = urls.withColumn("__qb_url", F.struct("host", "path"))
+    return join_hot(keyed, judged, "__qb_url", urls.columns, judged.count(), "left").fillna(0, ["__qb_candidates"])
