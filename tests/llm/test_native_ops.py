@@ -2,13 +2,14 @@
 
 import collections
 import hashlib
+import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from quillboard.llm import exact_dedup, mixing, sharding, url_rules
+from quillboard.llm import common, exact_dedup, mixing, queries, sharding, unigram, url_rules
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -54,6 +55,12 @@ def test_shards_are_exact_and_gapless(spark, n):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_many_shards_have_fewer_groups(spark):
+    out = sharding.hypergeometric_shards(spark.range(500).repartition(9), 50, seed=5, max_cells=100).collect()
+    slots = collections.Counter(r.shard for r in out)
+    assert sorted(r.id for r in out) == list(range(500)) and set(slots.values()) == {10}
+
+
 def test_shuffle_is_uniform_and_survives_ties_and_nulls(spark):
     df = spark.createDataFrame([(None, "x")] * 300 + [(1, "x")] * 300, "doc_id bigint, text string").repartition(5)
     out = sharding.hypergeometric_shards(df, 4, seed=1).collect()
@@ -140,6 +147,19 @@ def test_only_candidates_run_and_rules_are_filed_under_rare_tokens(spark):
         url_rules.parse_rule("maybe org/")
 
 
+def test_many_rules_are_joined_and_give_the_same(spark, monkeypatch):
+    rules = [*RULES, *[f"block s{i}.net/a/{i}/" for i in range(30)], "allow net/"]
+    urls = [*URLS, *[f"http://x.s{i}.net/a/{i % 7}/b" for i in range(40)], URLS[5], URLS[6]]
+    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id bigint, url string, verdict string")
+    parsed = [url_rules.parse_rule(x) for x in rules]
+    inline = sorted(map(tuple, url_rules.judge(df, parsed).collect()), key=repr)
+    joined = url_rules.judge(df, parsed, inline_rules=0)
+    assert sorted(map(tuple, joined.collect()), key=repr) == inline and "Python" not in joined._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, url_rules.judge(df, parsed, inline_rules=0).collect()), key=repr) == inline
+    assert {(r[-2], r[0], r[1], r[2], r[3]) for r in inline} == {(i, *judged(u, rules)) for i, u in enumerate(urls)}
+
+
 def test_url_plan_is_native_and_narrow(spark):
     df = spark.createDataFrame([(1, "http://a.org/")], "page_id bigint, url string")
     plan = url_rules.judge(df, [url_rules.parse_rule(x) for x in RULES])._jdf.queryExecution().executedPlan().toString()
@@ -199,7 +219,73 @@ def test_documents_without_tokens_are_kept_at_their_cells_rate(spark, driver_cel
     assert sorted(r.doc_id for r in nothing.collect()) == [100, 101, 102, 103]
 
 
-def test_topics(spark):
-    texts = {"": "empty", None: "empty", "a | b | c": "table", "x### y$$$ z***": "symbols", "SHOUTING OUT LOUD": "capitals", "hello there": "note", "word " * 200: "prose", "word " * 3000: "long"}
-    df = spark.createDataFrame([(t, k) for t, k in texts.items()], T.StructType([T.StructField("t", T.StringType()), T.StructField("k", T.StringType())]))
-    assert all(r.k == r.x for r in df.select("k", mixing.topic_of(F.col("t")).alias("x")).collect())
+def test_topics():
+    texts = {"": "empty", None: "empty", "a | b | c": "table", "x### y$$$ z***": "symbols", "SHOUTING OUT LOUD": "capitals", "hello there": "note", "word " * 200: "prose", "word " * 3000: "long", "é" * 399: "note", "é" * 400: "prose"}
+    assert {t: mixing.describe_text(t)[0] for t in texts} == texts
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 1 << 20])
+def test_tokens_are_runs_of_what_is_not_blank(monkeypatch, stretch):
+    monkeypatch.setattr(mixing, "_STRETCH", stretch)
+    for text in ["", " ", "a", " a", "a ", "a b\tc\n\nd", "é 日本\x0b😀  x\r\ny", "\u00a0 \u2003"]:
+        assert mixing.describe_text(text)[1] == len([w for w in re.split("[ \t\n\x0b\f\r]+", text) if w])
+
+
+def test_a_given_topic_and_margins(spark):
+    rows = [(i, "word " * 10, "en", f"s{i % 2}", 0, ["x", "y", None][i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows, DOCS + ", topic string")
+    out = mixing.decisions(df, topic_col="topic", targets={"topic": {"x": 0.5, "y": 0.3, None: 0.2}}, budget_share=0.5)
+    got = {(r.dimension, r.value): r.expected for r in mixing.margins(out).collect()}
+    assert np.allclose([got["topic", v] / 3000 for v in ("x", "y", None)], [0.5, 0.3, 0.2], atol=1e-3)
+    assert mixing.sample(df, topic_col="topic", targets={"topic": {"y": 1.0}}, budget_share=0.2).where("topic <> 'y' OR topic IS NULL").count() == 0
+
+
+def test_targets_that_cannot_be_met_are_named(spark):
+    df = spark.createDataFrame([(i, "word " * 10, "en", "big" if i % 10 else "small", 0) for i in range(200)], DOCS)
+    with pytest.warns(UserWarning, match="small"):
+        mixing.decisions(df, targets={"source": {"big": 0.5, "small": 0.5}}, budget_share=0.6)
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.decisions(df, targets={"source": {"big": 0.5, "small": 0.5}}, budget_share=0.6, driver_cells=0, sweeps=2)
+
+
+# -- registered queries -----------------------------------------------------------------------------------
+def test_registered_sharding(spark, sf_dir):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = queries.op3_sharding(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    assert all(r["size"] == len(docs[r.doc_id]) + 16 and r.text_crc32 == zlib.crc32(docs[r.doc_id]) and r.law == "rows" and r.grown_shard is None for r in out)
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r.shard].append(r.slot)
+    assert set(slots) == set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert "Python" not in queries.op3_sharding(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_registered_mixing(spark, sf_dir):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    out = queries.op5_mixing(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    assert all((r.topic, r.tokens) == mixing.describe_text(docs[r.doc_id].text) and (r.lang, r.source) == (docs[r.doc_id].lang, docs[r.doc_id].source) for r in out)
+    total = sum(r.tokens for r in out)
+    assert sum(r.tokens * r.probability for r in out) == pytest.approx(0.6 * total, rel=5e-3)  # a few short texts are all taken
+    for dim in ("source", "lang", "topic"):
+        held, reached = collections.Counter(), collections.Counter()
+        for r in out:
+            held[r[dim]] += r.tokens
+            reached[r[dim]] += r.tokens * r.probability
+        goal = {v: (n / total) ** 0.85 for v, n in held.items() if n}
+        assert all(reached[v] / (0.6 * total) == pytest.approx(g / sum(goal.values()), abs=2e-3) for v, g in goal.items())
+
+
+def test_registered_sentencepiece(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    coder = unigram.Coder(unigram.build(queries.MODEL_PATH))
+    out = queries.op6_sentencepiece(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    for r in out:
+        if docs[r.doc_id] is None:
+            assert r.ids is None and r.round_trip is None
+        else:
+            ids = np.array(r.ids, dtype=np.int32)
+            assert r.round_trip and coder.decode(ids) == docs[r.doc_id] and r.n_tokens == len(ids) and r.n_byte_tokens == coder.is_byte[ids].sum()
