@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 from enum import Enum
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -97,6 +97,24 @@ class TimeGrain:
             yield at
             at = self.next_start(at)
 
+    def axis(self, spark: SparkSession, start: datetime, end: datetime, key: str) -> tuple[DataFrame, int]:
+        """The same starts as rows in one column, and how many there are.
+
+        Only month and year buckets are listed on the driver (a few thousand at most); others are counted
+        and generated on the executors.
+        """
+        first = self.start_of(start)
+        span = max(timedelta(0), end - first)
+        if self.unit in MONTHS:
+            starts = list(self.starts(start, end))
+            micros = F.from_json(F.lit(str([(s - _EPOCH) // _TICK for s in starts])), "array<bigint>")
+            rows, n = spark.range(1).select(F.explode(micros).alias("m")), len(starts)
+        else:
+            step = self.count * (timedelta(days=DAYS[self.unit]) if self.unit in DAYS else MICROS[self.unit] * _TICK)
+            n = -(-span // step)
+            rows = spark.range(n).select((F.lit((first - _EPOCH) // _TICK) + F.col("id") * F.lit(step // _TICK)).alias("m"))
+        return rows.select(F.timestamp_micros("m").cast("timestamp_ntz").alias(key)), n
+
     def column(self, ts: Column) -> Column:
         """Start of the bucket that holds each value of a zone-less timestamp column."""
         a = self.origin

@@ -2,36 +2,48 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillboard.functions.grain import TimeGrain
+
 SYNTHETIC = "is_synthetic"
 _HIT = "__hit"
 
 
-def time_axis(df: DataFrame, key: str, starts: list[datetime]) -> DataFrame:
-    """The axis of given bucket starts (a few microsecond numbers in the plan), in one column."""
-    epoch = datetime(1970, 1, 1)
-    micros = [(s - epoch).days * 86_400_000_000 + (s - epoch).seconds * 1_000_000 + (s - epoch).microseconds for s in starts]
-    values = F.from_json(F.lit(str(micros)), "array<bigint>")
-    return df.sparkSession.range(1).select(F.explode(values).alias("m")).select(F.timestamp_micros("m").cast("timestamp_ntz").alias(key))
+#: Buckets up to which a time axis is broadcast; their number is known from the range and the grain.
+BROADCAST_BUCKETS = 100_000
+
+
+@dataclass(frozen=True)
+class Axis:
+    """The time key's place among the keys, and the range that sets its buckets."""
+
+    place: int
+    grain: TimeGrain
+    start: datetime
+    end: datetime
+
+    def rows(self, spark: SparkSession, key: str) -> DataFrame:
+        line, n = self.grain.axis(spark, self.start, self.end, key)
+        return F.broadcast(line) if n <= BROADCAST_BUCKETS else line
 
 
-def fill(df: DataFrame, keys: list[str], zeros: dict[str, Column | None], axis: tuple[int, list[datetime]] | None) -> DataFrame:
+def fill(df: DataFrame, keys: list[str], zeros: dict[str, Column | None], axis: Axis | None) -> DataFrame:
     """Every combination of the axes' keys, with zeros (or nulls) and a marker where nothing was observed.
 
-    axis: the place of the time key and its buckets, if a range replaces what was observed; a null key
-    stays. The frame is aggregated already, so all of this works on buckets, not on rows.
+    axis: the time key and its buckets, if a range replaces what was observed; a null key stays. The frame is aggregated already, so all of this works on buckets, not on rows.
     """
     if len(keys) == 1 and axis is None:
         return df.withColumn(SYNTHETIC, F.lit(False))
     observed = df.withColumn(_HIT, F.lit(True))
     if len(keys) == 1:  # one pass: what lies outside the axis goes, a null key stays
-        line = time_axis(df, "__axis", axis[1])
-        joined = observed.join(F.broadcast(line), F.col(keys[0]) == F.col("__axis"), "full").where(F.col("__axis").isNotNull() | F.col(keys[0]).isNull())
+        line = axis.rows(df.sparkSession, "__axis")
+        joined = observed.join(line, F.col(keys[0]) == F.col("__axis"), "full").where(F.col("__axis").isNotNull() | F.col(keys[0]).isNull())
         grid = joined.withColumn(keys[0], F.coalesce(keys[0], "__axis")).drop("__axis")
     else:
         # the test is always true; it keeps all aggregates alive, so that the axes reuse the same exchange
@@ -39,8 +51,8 @@ def fill(df: DataFrame, keys: list[str], zeros: dict[str, Column | None], axis:
         axes = []
         for i, key in enumerate(keys):
             seen = df.where(alive).select(key).distinct()
-            if axis is not None and i == axis[0]:
-                seen = time_axis(df, key, axis[1]).unionByName(seen.where(F.col(key).isNull()))
+            if axis is not None and i == axis.place:
+                seen = axis.rows(df.sparkSession, key).unionByName(seen.where(F.col(key).isNull()))
             axes.append(seen.withColumnRenamed(key, f"__axis{i}"))
         cells = reduce(lambda a, b: a.crossJoin(b), axes)
         match = reduce(lambda a, b: a & b, [F.col(f"__axis{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)])

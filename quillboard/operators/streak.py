@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillboard.plans import spec as Q
 from quillboard.schema import FieldType, SourceDef
@@ -24,27 +23,34 @@ def key_text(column: Column, t: FieldType) -> Column:
 def streaks(df: DataFrame, m: Q.Streak, source: SourceDef, as_of: datetime, order: Column | None = None) -> DataFrame:
     """entityId, entityLabel, currentStreak, longestStreak of every entity, not ordered.
 
-    Rows meet once by (entity, day), pre-aggregated; what follows works on days and runs. order: the
-    rows' input order, for the choice of a label (their place in the input files by default).
+    Rows meet once, by entity, pre-aggregated to the distinct days of each; a fold over an entity's days
+    does the rest. order: the rows' input order, for the choice of a label (their place in the input files
+    by default).
     """
     entity = key_text(F.col(f"`{m.entity.field_id}`"), source.field(m.entity.field_id).field_type)
-    rows = df.select(
-        entity.alias("entity"),
-        F.col(f"`{m.scheduled.field_id}`").cast("date").alias("day"),
-        F.col(f"`{m.status.field_id}`").eqNullSafe(F.lit(m.completed)).alias("done"),
-        (F.col(f"`{m.entity_label.field_id}`") if m.entity_label else F.lit(None).cast("string")).alias("label"),
-        *([(order if order is not None else F.monotonically_increasing_id()).alias("place")] if m.entity_label else [F.lit(0).alias("place")]),
-    ).where("entity IS NOT NULL")
-    named = F.when(F.coalesce(F.length("label"), F.lit(0)) > 0, F.struct("place", "label"))
-    days = rows.groupBy("entity", "day").agg(F.max("done").alias("done"), F.min(named).alias("named"))
-    today = F.lit(as_of.date())
-    counts = F.col("day").isNotNull() & (F.col("day") <= today)
-    days = days.withColumn("won", counts & F.col("done")).withColumn("lost", counts & ~F.col("done") & (F.col("day") < today))
-    line = Window.partitionBy("entity").orderBy(F.col("day").asc_nulls_first())
-    runs = days.withColumn("run", F.sum(F.col("lost").cast("bigint")).over(line))
-    runs = runs.groupBy("entity", "run").agg(F.sum(F.col("won").cast("bigint")).alias("n"), F.min("named").alias("named"))
-    out = runs.groupBy("entity").agg(F.max_by("n", "run").alias("currentStreak"), F.max("n").alias("longestStreak"), F.min("named").alias("named"))
-    return out.select(F.col("entity").alias("entityId"), F.coalesce(F.col("named.label"), "entity").alias("entityLabel"), "currentStreak", "longestStreak")
+    day = F.col(f"`{m.scheduled.field_id}`").cast("date")
+    late = F.lit(as_of.date())
+    # what lies after as_of, or on no day, counts for nothing
+    mark = F.when(day <= late, F.struct(day.alias("day"), (~F.col(f"`{m.status.field_id}`").eqNullSafe(F.lit(m.completed))).alias("open")))
+    found = [F.collect_set(mark).alias("days")]
+    rows = df.withColumn("__entity", entity)
+    if m.entity_label:
+        label = F.col(f"`{m.entity_label.field_id}`")
+        rows = rows.withColumn("__place", order if order is not None else F.monotonically_increasing_id())
+        found.append(F.min(F.when(F.coalesce(F.length(label), F.lit(0)) > 0, F.struct(F.col("__place").alias("place"), label.alias("label")))).alias("named"))
+    days = rows.where("__entity IS NOT NULL").groupBy("__entity").agg(*found)
+
+    def step(at: Column, x: Column) -> Column:
+        """A completed day adds one; an open day before as_of ends the run. Of a day's marks the completed one is first."""
+        again = x["day"] == at["day"]
+        run = F.when(again, at["run"]).when(~x["open"], at["run"] + 1).when(x["day"] < late, F.lit(0).cast("bigint")).otherwise(at["run"])
+        return F.struct(run.alias("run"), F.greatest(at["best"], run).alias("best"), x["day"].alias("day"))
+
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("run"), zero.alias("best"), F.lit("0001-01-01").cast("date").alias("day"))
+    out = days.withColumn("__streak", F.aggregate(F.array_sort("days"), start, step))
+    label = F.coalesce("named.label", "__entity") if m.entity_label else F.col("__entity")
+    return out.select(F.col("__entity").alias("entityId"), label.alias("entityLabel"), F.col("__streak.run").alias("currentStreak"), F.col("__streak.best").alias("longestStreak"))
 
 
 ORDER = (F.desc, "currentStreak"), (F.desc, "longestStreak"), (F.asc, "entityLabel"), (F.asc, "entityId")

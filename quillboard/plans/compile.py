@@ -18,7 +18,7 @@ from quillboard.functions.dates import Range
 from quillboard.operators import aggregate as A
 from quillboard.operators import derived as D
 from quillboard.operators import streak as S
-from quillboard.operators.densify import SYNTHETIC, fill
+from quillboard.operators.densify import SYNTHETIC, Axis, fill
 from quillboard.plans import spec as Q
 from quillboard.plans.validate import MAX_DEPTH, check_query, target_measure
 from quillboard.results import Result, ResultColumn
@@ -73,7 +73,7 @@ def build(query: Q.Query, df: DataFrame, sources: Sequence[SourceDef], as_of: da
     keys = [f"__k{i}" for i in range(len(query.group_bys))]
     grouped = rows.groupBy(*[_key(g).alias(k) for g, k in zip(query.group_bys, keys, strict=True)]).agg(*aggregates)
     if densify:
-        axis = next(((i, list(g.grain.starts(date_range.start, date_range.end))) for i, g in enumerate(query.group_bys) if isinstance(g, Q.TimeGroupBy)), None) if date_range else None
+        axis = next((Axis(i, g.grain, date_range.start, date_range.end) for i, g in enumerate(query.group_bys) if isinstance(g, Q.TimeGroupBy)), None) if date_range else None
         grid = fill(grouped, keys, {names[key]: A.zero(leaf, source) for key, leaf in leaves.items()}, axis)
     else:
         grid = grouped.withColumn(SYNTHETIC, F.lit(False))

@@ -5,17 +5,19 @@ Doubles are rounded to 4 digits on both sides: sums depend on the order of addit
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillboard import codec
 from quillboard.functions import dates
 from quillboard.functions import grain as G
 from quillboard.operators import algebra
 from quillboard.plans import spec as Q
 from quillboard.plans.compile import execute
+from quillboard.plans.validate import validate_query
 from quillboard.results import Result
 from quillboard.schema import FieldDef, FieldType, SourceDef, date_time, double, enum, enums, integer, integers, null
 from quillboard.sources.catalog import TABLES, tables
@@ -159,7 +161,7 @@ add_spans(
     "SELECT event_type, CAST(sum(clock) AS BIGINT) AS total, CAST(sum(clock) // count(clock) AS BIGINT) AS mean, min(clock) AS low, max(clock) AS high, CAST(round(quantile_cont(clock, 0.5)) AS BIGINT) AS half, false AS is_synthetic FROM spans GROUP BY 1",
 )
 add_spans("group_by_boolean", Q.Query("spans", (count(),), group_bys=by(SPANS, "late")), "SELECT late, count(*) AS n, false AS is_synthetic FROM spans GROUP BY 1")
-add_spans("group_by_null_key", Q.Query("spans", (count(),), (where(SPANS, "ts", Op.lessThan, date_time(day(2024, 1, 2))),), group_bys=by(SPANS, "spent")), "SELECT round(spent, 4) AS spent, count(*) AS n, false AS is_synthetic FROM spans WHERE ts < TIMESTAMP '2024-01-02' GROUP BY spent")
+add_spans("group_by_null_key", Q.Query("spans", (count(),), group_bys=by(SPANS, "spent")), "SELECT round(spent, 4) AS spent, count(*) AS n, false AS is_synthetic FROM spans GROUP BY spent")
 add_spans("nulls_in_aggregates", Q.Query("spans", (count(), measure(SPANS, "spent", Q.SUM, "total"), measure(SPANS, "spent", Q.AVERAGE, "mean")), group_bys=by(SPANS, "event_type")), "SELECT event_type, count(*) AS n, round(coalesce(sum(spent), 0.0), 4) AS total, round(avg(spent), 4) AS mean, false AS is_synthetic FROM spans GROUP BY 1")
 add_spans("filter_is_null", Q.Query("spans", (count(),), (where(SPANS, "spent", Op.equals, null(FieldType.double)),)), "SELECT count(*) AS n FROM spans WHERE spent IS NULL")
 add_spans("filter_not_null", Q.Query("spans", (count(),), (where(SPANS, "spent", Op.notEquals, null(FieldType.double)),)), "SELECT count(*) AS n FROM spans WHERE spent IS NOT NULL")
@@ -169,22 +171,24 @@ add_spans("filter_order_drops_null", Q.Query("spans", (count(),), (where(SPANS,
 # -- filters -----------------------------------------------------------------------------------------
 add("filter_eq", Q.Query("orders", (count(),), (where(ORDERS, "o_orderstatus", Op.equals, enum("F")),)), "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F'")
 add("filter_ne", Q.Query("orders", (count(),), (where(ORDERS, "o_orderstatus", Op.notEquals, enum("F")),), by(ORDERS, "o_orderpriority")), "SELECT o_orderpriority, count(*) AS n, false AS is_synthetic FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F' GROUP BY 1")
-add("filter_in", Q.Query("orders", (count(),), (where(ORDERS, "o_orderpriority", Op.inList, enums(["1-URGENT", "2-HIGH"])), where(ORDERS, "o_custkey", Op.inList, integers(list(range(1, 400)))))), "SELECT count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey BETWEEN 1 AND 399")
+add("filter_in", Q.Query("lineitem", (count(),), (where(LINES, "l_returnflag", Op.inList, enums(["A", "R"])), where(LINES, "l_linenumber", Op.inList, integers([1, 3, 5])))), "SELECT count(*) AS n FROM lineitem WHERE l_returnflag IN ('A', 'R') AND l_linenumber IN (1, 3, 5)")
 add("filter_in_empty", Q.Query("orders", (count(),), (where(ORDERS, "o_orderpriority", Op.inList, enums([])),)), "SELECT count(*) AS n FROM orders WHERE false")
 add("filter_range", Q.Query("orders", (count(), measure(ORDERS, "o_totalprice", Q.SUM, "total")), (where(ORDERS, "o_orderdate", Op.greaterThanOrEqual, date_time(day(1996, 1, 1))), where(ORDERS, "o_orderdate", Op.lessThan, date_time(day(1997, 1, 1))), where(ORDERS, "o_totalprice", Op.greaterThan, double(1000.0)))), "SELECT count(*) AS n, round(coalesce(sum(o_totalprice), 0.0), 4) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_totalprice > 1000.0")
 
 # -- grids -------------------------------------------------------------------------------------------
-_SPARSE = (where(ORDERS, "o_custkey", Op.lessThan, integer(12)),)
-_GRID = """WITH d AS (SELECT * FROM orders WHERE o_custkey < 12),
+#: Prices that few rows are above or below: grids over them have gaps in small tables.
+DEAR, CHEAP = 499_700.0, 1_000.0
+_SPARSE = (where(ORDERS, "o_totalprice", Op.greaterThan, double(DEAR)),)
+_GRID = f"""WITH d AS (SELECT * FROM orders WHERE o_totalprice > {DEAR}),
 a AS (SELECT DISTINCT o_orderstatus FROM d), b AS (SELECT DISTINCT o_orderpriority FROM d),
 g AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n, avg(o_totalprice) AS mean FROM d GROUP BY 1, 2)
 """
 add("group2_grid", Q.Query("orders", (count(), measure(ORDERS, "o_totalprice", Q.AVERAGE, "mean")), _SPARSE, by(ORDERS, "o_orderstatus", "o_orderpriority")), _GRID + "SELECT a.o_orderstatus, b.o_orderpriority, coalesce(g.n, 0) AS n, round(g.mean, 4) AS mean, g.n IS NULL AS is_synthetic FROM a CROSS JOIN b LEFT JOIN g ON g.o_orderstatus IS NOT DISTINCT FROM a.o_orderstatus AND g.o_orderpriority IS NOT DISTINCT FROM b.o_orderpriority")
-add("group2_sparse", Q.Query("orders", (count(),), _SPARSE, by(ORDERS, "o_orderstatus", "o_orderpriority")), "SELECT o_orderstatus, o_orderpriority, count(*) AS n, false AS is_synthetic FROM orders WHERE o_custkey < 12 GROUP BY 1, 2", densify=False)
+add("group2_sparse", Q.Query("orders", (count(),), _SPARSE, by(ORDERS, "o_orderstatus", "o_orderpriority")), "SELECT o_orderstatus, o_orderpriority, count(*) AS n, false AS is_synthetic FROM orders WHERE o_totalprice > " + str(DEAR) + " GROUP BY 1, 2", densify=False)
 add(
     "group3_grid",
-    Q.Query("lineitem", (measure(LINES, "l_quantity", Q.SUM, "qty"),), (where(LINES, "l_orderkey", Op.lessThan, integer(40)),), by(LINES, "l_returnflag", "l_linestatus", "l_linenumber")),
-    """WITH d AS (SELECT l_returnflag AS r, l_linestatus AS s, CAST(l_linenumber AS BIGINT) AS k, l_quantity FROM lineitem WHERE l_orderkey < 40),
+    Q.Query("lineitem", (measure(LINES, "l_quantity", Q.SUM, "qty"),), (where(LINES, "l_extendedprice", Op.lessThan, double(CHEAP)),), by(LINES, "l_returnflag", "l_linestatus", "l_linenumber")),
+    f"""WITH d AS (SELECT l_returnflag AS r, l_linestatus AS s, CAST(l_linenumber AS BIGINT) AS k, l_quantity FROM lineitem WHERE l_extendedprice < {CHEAP}),
     c AS (SELECT * FROM (SELECT DISTINCT r FROM d) CROSS JOIN (SELECT DISTINCT s FROM d) CROSS JOIN (SELECT DISTINCT k FROM d)),
     g AS (SELECT r, s, k, sum(l_quantity) AS q FROM d GROUP BY 1, 2, 3)
     SELECT c.r AS l_returnflag, c.s AS l_linestatus, c.k AS l_linenumber, round(coalesce(g.q, 0.0), 4) AS qty, g.q IS NULL AS is_synthetic FROM c LEFT JOIN g ON c.r = g.r AND c.s = g.s AND c.k = g.k""",
@@ -375,3 +379,156 @@ register(
 )
 add("customers_by_segment", Q.Query("customer", (count(), measure(CUSTOMERS, "c_acctbal", Q.AVERAGE, "mean")), group_bys=by(CUSTOMERS, "c_mktsegment")), "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean, false AS is_synthetic FROM customer GROUP BY 1")
 add("parts_by_size", Q.Query("part", (measure(PARTS, "p_retailprice", Q.percentile(0.5), "half"),), group_bys=by(PARTS, "p_size")), "SELECT CAST(p_size AS BIGINT) AS p_size, round(quantile_cont(p_retailprice, 0.5), 4) AS half, false AS is_synthetic FROM part GROUP BY 1")
+
+# -- finer grains, late anchors, more presets ------------------------------------------------------------
+for _unit, _grain in (("second", G.SECOND), ("millisecond", G.MILLISECOND), ("microsecond", G.MICROSECOND)):
+    add(f"time_{_unit}", Q.Query("events", (count(),), group_bys=(at(EVENTS, "ts", _grain),)), f"SELECT date_trunc('{_unit}', ts) AS ts, count(*) AS n, false AS is_synthetic FROM events GROUP BY 1")
+for _day in (29, 30, 31):
+    _start = f"TIMESTAMP '2000-01-01' + to_months(CAST(12 * (year(o_orderdate) - 2000) + month(o_orderdate) - 1 - CASE WHEN day(o_orderdate) < {_day} THEN 1 ELSE 0 END AS INTEGER)) + INTERVAL {_day - 1} DAY"
+    add(f"time_month_from_{_day}", Q.Query("orders", (count(),), group_bys=(at(ORDERS, "o_orderdate", G.TimeGrain(1, G.TimeUnit.month, day(2000, 1, _day))),)), f"SELECT {_start} AS o_orderdate, count(*) AS n, false AS is_synthetic FROM orders GROUP BY 1")
+add("time_hour_axis", Q.Query("events", (count(),), group_bys=(at(EVENTS, "ts", G.TimeGrain(90, G.TimeUnit.minute, day(2000, 1, 1))),)), "SELECT CAST(s.t AS TIMESTAMP) AS ts, count(e.ts) AS n, count(e.ts) = 0 AS is_synthetic FROM generate_series(TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-12 23:00:00', INTERVAL '90 minutes') AS s(t) LEFT JOIN events e ON time_bucket(INTERVAL '90 minutes', e.ts, TIMESTAMP '2000-01-01') = s.t GROUP BY s.t", date_range=_RANGE)
+_MORE = {
+    "project_last14": (dates.Preset.last14Days, "2024-01-07", "2024-01-20"),
+    "project_last30": (dates.Preset.last30Days, "2023-12-22", "2024-01-20"),
+    "project_last90": (dates.Preset.last90Days, "2023-10-23", "2024-01-20"),
+    "project_all_time": (dates.Preset.allTime, "2023-01-20", "2024-01-20"),
+}
+_DAILY = "SELECT CAST(s.t AS TIMESTAMP) AS ts, count(e.ts) AS n, count(e.ts) = 0 AS is_synthetic FROM generate_series(TIMESTAMP '{first}', TIMESTAMP '{last}', INTERVAL '1 day') AS s(t) LEFT JOIN events e ON date_trunc('day', e.ts) = s.t GROUP BY s.t"
+for _name, (_preset, _first, _last) in _MORE.items():
+    register(_name, _DAILY.format(first=_first, last=_last), _projected(_preset))
+
+# -- streaks with labels, and of dates ---------------------------------------------------------------------
+PEOPLE = SourceDef("people", "people", tuple(FieldDef(n, "people", n, t) for n, t in (("user_id", FieldType.integer), ("ts", FieldType.dateTime), ("event_type", FieldType.enumeration), ("name", FieldType.string))))
+_LABELLED = Q.Query("people", (Q.Streak(PEOPLE.ref("user_id"), PEOPLE.ref("ts"), PEOPLE.ref("event_type"), "purchase", PEOPLE.ref("name")),))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaks of users named by their first view or signup; those without keep their id."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    name = F.when(F.col("event_type") == "view", F.concat(F.lit("viewer "), F.col("event_id").cast("string"))).when(F.col("event_type") == "signup", "")
+    people = events.select("user_id", "ts", "event_type", name.alias("name"))
+    return ok(execute(_LABELLED, people, (PEOPLE,), as_of=day(2024, 1, 25), input_order=F.col("ts"))).df
+
+
+register(
+    "streak_labels",
+    f"""SELECT s."entityId", coalesce(b.label, s."entityId") AS "entityLabel", s."currentStreak", s."longestStreak" FROM ({_STREAK_SQL}) s
+    LEFT JOIN (SELECT CAST(user_id AS VARCHAR) AS e, arg_min('viewer ' || event_id, (ts, 'viewer ' || event_id)) AS label FROM events WHERE event_type = 'view' GROUP BY 1) b ON s."entityId" = b.e""",
+    _labelled,
+)
+add(
+    "streak_of_dates",
+    Q.Query("orders", (Q.Streak(ORDERS.ref("o_orderdate"), ORDERS.ref("o_orderdate"), ORDERS.ref("o_orderstatus"), "F"),)),
+    """WITH d AS (SELECT strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S.000') AS e, CAST(max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM orders GROUP BY 1)
+    SELECT e AS "entityId", e AS "entityLabel", n AS "currentStreak", n AS "longestStreak" FROM d""",
+    as_of=day(2030, 1, 1),
+)
+_VIEWS = (where(SPANS, "event_type", Op.equals, enum("view")),)
+add_spans("derived_of_nulls", Q.Query("spans", (measure(SPANS, "spent", Q.MAX, "top"),), _VIEWS, (at(SPANS, "ts", G.DAY),), derived=Q.CUMULATIVE_SUM), "SELECT date_trunc('day', ts) AS ts, CAST(NULL AS DOUBLE) AS top, false AS is_synthetic FROM spans WHERE event_type = 'view' GROUP BY 1")
+
+# -- stored payloads: written as JSON, read again, run through the snapshot cache ----------------------------
+
+
+def add_stored(name: str, payload: Q.Single | Q.Paired, mode: dates.DateRangeMode, sql: str, combine: Q.Combination | None = None, page: dates.DateRange | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        catalog = tables(sf_dir)
+        stored, stored_mode = codec.encode_payload(payload), codec.encode_mode(mode)
+        found = ok(catalog.run_payload(spark, codec.decode_payload(stored), codec.decode_mode(stored_mode), page, _TODAY, as_of=day(2024, 1, 25), cache=catalog.snapshots(spark, persist=False)))
+        return found.df if combine is None else ok(algebra.combine(*found, combine)).df
+
+    register(name, sql, run)
+
+
+_CUSTOM = dates.CustomRange(day(2024, 1, 5), day(2024, 1, 14))
+add_stored("stored_daily_custom", Q.Single(Q.Query("events", (count(),), group_bys=(at(EVENTS, "ts", G.DAY),))), dates.FixedOverride(_CUSTOM), _DAILY.format(first="2024-01-05", last="2024-01-14"))
+add_stored("stored_daily_page", Q.Single(Q.Query("events", (count(),), group_bys=(at(EVENTS, "ts", G.DAY),))), dates.UsePageRange(), _DAILY.format(first="2024-01-05", last="2024-01-14"), page=_CUSTOM)
+add_stored(
+    "stored_table",
+    Q.Single(
+        Q.Query(
+            "lineitem",
+            (
+                count(),
+                Q.Transformed(measure(LINES, "l_quantity", Q.SUM, None), Q.ScalarOp(Q.Scalar.fillNull, 0), label="qty"),
+                Q.Calculated(_PRICE, _QTY, Q.Combination.ratio, label="price"),
+                measure(LINES, "l_discount", Q.percentile(0.75), "p75"),
+            ),
+            (where(LINES, "l_returnflag", Op.inList, enums(["A", "N"])), where(LINES, "l_quantity", Op.greaterThan, double(10.0))),
+            by(LINES, "l_linestatus", "l_linenumber"),
+            sort=Q.Sort(Q.ByMeasure("qty"), Q.Direction.descending),
+            limit=5,
+            having=Q.Having(Op.greaterThan, integer(0), "n"),
+        )
+    ),
+    dates.FixedOverride(dates.CustomRange(day(1996, 3, 1), day(1999, 2, 28))),
+    """SELECT l_linestatus, CAST(l_linenumber AS BIGINT) AS l_linenumber, count(*) AS n, round(sum(l_quantity), 4) AS qty, round(sum(l_extendedprice) / sum(l_quantity), 4) AS price, round(quantile_cont(l_discount, 0.75), 4) AS p75, false AS is_synthetic
+    FROM lineitem WHERE l_returnflag IN ('A', 'N') AND l_quantity > 10.0 AND l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1999-03-01' GROUP BY 1, 2 ORDER BY sum(l_quantity) DESC, 1, 2 LIMIT 5""",
+)
+add_stored("stored_pair", Q.Paired(_daily("purchase", 0.0), _daily("view", 0.0)), dates.FixedOverride(dates.CustomRange(day(2024, 1, 5), day(2024, 1, 14))), SQL["paired_rate"], Q.Combination.ratio)
+add_stored("stored_streak", Q.Single(_streak(None)), dates.NoDateRange(), _STREAK_SQL)
+
+# -- checks, shapes and ranges as rows -----------------------------------------------------------------------
+
+
+def add_rows(name: str, columns: Sequence[str], rows: Callable[[], list[tuple]], expected: list[tuple]) -> None:
+    """What plain functions give, as a table of text beside the values that they should give."""
+    values = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in expected)
+    schema = ", ".join(f"{c} string" for c in columns)
+    register(name, f"SELECT * FROM (VALUES {values}) AS t({', '.join(columns)})", lambda spark, sf_dir: spark.createDataFrame(rows(), schema))
+
+
+_BY_DAY = (at(EVENTS, "ts", G.DAY),)
+_BAD: dict[str, tuple[Q.Query, str]] = {
+    "no measure": (Q.Query("events", ()), "measuresEmpty"),
+    "unknown source": (Q.Query("nowhere", (count(),)), "unknownSource"),
+    "sum of text": (Q.Query("events", (measure(EVENTS, "event_type", Q.SUM, "x"),)), "incompatibleAggregation"),
+    "percentile above 1": (Q.Query("events", (measure(EVENTS, "value", Q.percentile(1.5), "x"),)), "invalidAggregationParameter"),
+    "same label twice": (Q.Query("events", (count("x"), measure(EVENTS, "value", Q.SUM, "x"))), "duplicateMeasureLabel"),
+    "order of text": (Q.Query("events", (count(),), (where(EVENTS, "event_type", Op.lessThan, enum("a")),)), "incompatibleOperator"),
+    "two time axes": (Q.Query("events", (count(),), group_bys=(*_BY_DAY, at(EVENTS, "ts", G.MONTH))), "multipleTemporalGroupBys"),
+    "four groups": (Q.Query("orders", (count(),), group_bys=by(ORDERS, "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")), "tooManyGroupBys"),
+    "grain of a number": (Q.Query("events", (count(),), group_bys=(at(EVENTS, "value", G.DAY),)), "timeGrainOnNonDateField"),
+    "window of 0": (Q.Query("events", (count(),), group_bys=_BY_DAY, derived=Q.moving_average(0)), "invalidDerivedOperationParameter"),
+    "delta of dates": (Q.Query("events", (measure(EVENTS, "ts", Q.MAX, "x"),), group_bys=_BY_DAY, derived=Q.DELTA), "derivedOpRequiresNumericMeasure"),
+    "sort of a scalar": (Q.Query("events", (count(),), sort=Q.Sort(Q.ByMeasure())), "incompatibleSortTarget"),
+    "sort by no measure": (Q.Query("events", (count(),), group_bys=_BY_DAY, sort=Q.Sort(Q.ByMeasure("nope"))), "unknownMeasureLabel"),
+    "having of a scalar": (Q.Query("events", (count(),), having=Q.Having(Op.equals, integer(1))), "havingRequiresGrouping"),
+    "negative limit": (Q.Query("events", (count(),), group_bys=_BY_DAY, limit=-1), "preconditionViolation"),
+    "streak beside a count": (Q.Query("events", (_streak(None).measures[0], count())), "streakNotCombinable"),
+    "streak by day": (Q.Query("events", _streak(None).measures, group_bys=_BY_DAY), "streakWithExplicitGrouping"),
+    "sum of days and number": (Q.Query("spans", (Q.Calculated(measure(SPANS, "clock", Q.SUM, None), Q.Count(), Q.Combination.sum, label="x"),)), "incompatibleSeriesCombination"),
+}
+
+
+def _verdicts() -> list[tuple]:
+    return [(name, validate_query(query, (*TABLES, SPANS)).error.kind.value) for name, (query, _) in _BAD.items()]
+
+
+add_rows("validation_errors", ("fault", "kind"), _verdicts, [(name, kind) for name, (_, kind) in _BAD.items()])
+_SHAPED = {
+    "scalar": Q.Query("events", (count(),)),
+    "series": Q.Query("events", (count(),), group_bys=_BY_DAY),
+    "multiSeries": Q.Query("events", (count(),), group_bys=(*_BY_DAY, *by(EVENTS, "event_type"))),
+    "table": _streak(None),
+}
+add_rows("shapes", ("shape",), lambda: [(Q.shape_of(query).value,) for query in _SHAPED.values()], [(name,) for name in _SHAPED])
+_RANGES = {
+    "last7Days": ("2024-01-14", "2024-01-21"),
+    "last14Days": ("2024-01-07", "2024-01-21"),
+    "last30Days": ("2023-12-22", "2024-01-21"),
+    "last90Days": ("2023-10-23", "2024-01-21"),
+    "thisWeek": ("2024-01-14", "2024-01-21"),
+    "thisMonth": ("2024-01-01", "2024-01-21"),
+    "lastMonth": ("2023-12-01", "2024-01-01"),
+    "quarterToDate": ("2024-01-01", "2024-01-21"),
+    "allTime": ("2023-01-20", "2024-01-21"),
+}
+
+
+def _resolved() -> list[tuple]:
+    """Each preset as a stored range, resolved on the 20th of January 2024."""
+    found = {p.value: dates.resolve(codec.decode_range(codec.encode_range(dates.PresetRange(p))), _TODAY) for p in dates.Preset}
+    return [(name, r.start.date().isoformat(), r.end.date().isoformat()) for name, r in found.items()]
+
+
+add_rows("presets_resolved", ("preset", "first", "after"), _resolved, [(name, *ends) for name, ends in _RANGES.items()])

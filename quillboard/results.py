@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillboard.operators.densify import SYNTHETIC
 from quillboard.plans.spec import Shape
-from quillboard.schema import FieldType
+from quillboard.schema import FieldType, Value
 
 POS = "__pos"
 
@@ -23,6 +23,39 @@ class ResultColumn:
     is_key: bool
 
 
+@dataclass(frozen=True)
+class BucketKey:
+    """A bucket's typed key; equal by type and value. Null keys come last in either direction."""
+
+    field_type: FieldType
+    value: Any
+
+    @property
+    def label(self) -> str:
+        return "null" if self.value is None else self.value.isoformat(sep=" ") if hasattr(self.value, "isoformat") else str(self.value)
+
+    def typed(self) -> Value:
+        return Value(self.field_type, self.value)
+
+    def compare(self, other: BucketKey) -> int:
+        """-1, 0 or 1, nulls last; keys of different types do not compare."""
+        if self.field_type is not other.field_type:
+            raise TypeError(f"{self.field_type.value} and {other.field_type.value} do not compare")
+        a, b = (self.value is None, self.value), (other.value is None, other.value)
+        if a[0] or b[0]:
+            return a[0] - b[0]
+        return (a[1] > b[1]) - (a[1] < b[1])
+
+
+@dataclass(frozen=True)
+class Bucket:
+    """One row of a result: its keys, its measures' values, and whether it was made up to fill a grid."""
+
+    keys: tuple[BucketKey, ...]
+    values: tuple[Any, ...]
+    is_synthetic: bool = False
+
+
 @dataclass(frozen=True)
 class Result:
     """frame: the rows (not ordered); order: how they are; columns: keys, then measures.
@@ -66,6 +99,16 @@ class Result:
         whole, kept = self.truncation
         return max(0, whole.count() - kept)
 
+    def collect(self, most: int = 100_000) -> list[Bucket]:
+        """The rows as typed values, in order; runs the query. More than `most` rows raise."""
+        rows = self.df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"the result has more than {most} rows")
+        n = len(self.keys)
+        marked = SYNTHETIC in self.frame.columns
+        kinds = [c.field_type for c in self.columns if c.is_key]
+        return [Bucket(tuple(BucketKey(t, v) for t, v in zip(kinds, r[:n], strict=True)), tuple(r[n : len(self.columns)]), bool(marked and r[SYNTHETIC])) for r in rows]
+
     def scalar(self) -> Any:
         """The value of a scalar result; runs the query."""
         return self.frame.first()[0]
@@ -83,16 +126,28 @@ class Result:
         grid = joined.select(F.col("__k0").alias(x), F.col("__k1").alias(s), F.col(f"`{measure}`"), F.coalesce(SYNTHETIC, F.lit(False)).alias(SYNTHETIC), "__p0", "__p1")
         return replace(self, shape=Shape.table, frame=grid, order=(F.asc("__p0"), F.asc("__p1")), group_kind=None)
 
-    def pivot(self) -> DataFrame:
-        """One row for each x key, one column for each series key: the wide form of a two-dimensional series."""
+    def pivot(self, most: int = 10_000) -> DataFrame:
+        """One row for each x key, one column for each series key: the wide form of a two-dimensional series.
+
+        Columns are named by the keys as text; the null key's is "null", or "null_" with as many more
+        underscores as make it new, where a key reads so too. Reading the series keys runs a job; more than
+        `most` raise.
+        """
         if self.shape is not Shape.multiSeries:
             raise ValueError("only a multiSeries result is pivoted")
         x, s = self.keys
         placed = self.positioned()
-        named = placed.withColumn("__s", F.coalesce(F.col(f"`{s}`").cast("string"), F.lit("null")))
-        wide = named.groupBy(x).pivot("__s").agg(F.first(f"`{self.measures[0]}`"))
-        first = placed.groupBy(x).agg(F.min(POS).alias(POS)).withColumnRenamed(x, "__x")
-        return wide.join(first, F.col(f"`{x}`").eqNullSafe(F.col("__x"))).orderBy(POS).drop("__x", POS)
+        found = placed.groupBy(F.col(f"`{s}`").cast("string").alias("k")).agg(F.min(POS).alias("p")).orderBy("k").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} series keys")
+        names = sorted(r.k for r in found if r.k is not None)
+        empty = "null"
+        while empty in names or empty == x:
+            empty += "_"
+        held = [(n, n if n != x else f"{n}_") for n in names] + ([(None, empty)] if any(r.k is None for r in found) else [])
+        key, measure = F.col(f"`{s}`").cast("string"), F.col(f"`{self.measures[0]}`")
+        columns = [F.first(F.when(key.eqNullSafe(F.lit(value)), measure), ignorenulls=True).alias(name) for value, name in held]
+        return placed.groupBy(x).agg(F.min(POS).alias(POS), *columns).orderBy(POS).drop(POS)
 
     def positioned(self) -> DataFrame:
         """The frame with its rows' place in the order, from 1."""

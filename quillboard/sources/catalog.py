@@ -13,6 +13,7 @@ from quillboard.plans import spec as Q
 from quillboard.plans.compile import execute
 from quillboard.plans.validate import check_payload
 from quillboard.schema import FieldDef, FieldType, SourceDef
+from quillboard.sources.cache import SnapshotCache
 
 Loader = Callable[[SparkSession, dates.Range | None], DataFrame]
 
@@ -41,6 +42,10 @@ class Catalog:
             raise Failure(ErrorKind.unknownSource, f"no source {source_id}")
         return self._loaders[source_id](spark, bound)
 
+    def snapshots(self, spark: SparkSession, persist: bool = True) -> SnapshotCache:
+        """A cache of this catalog's sources, by source and days."""
+        return SnapshotCache(lambda source_id, bound: self.load(spark, source_id, bound), persist)
+
     def run(self, spark: SparkSession, query: Q.Query, **how) -> Ok | Err:
         def work():
             frame = self.load(spark, query.source)
@@ -49,8 +54,12 @@ class Catalog:
         found = attempt(work)
         return found if found.is_err else found.value
 
-    def run_payload(self, spark: SparkSession, payload: Q.Single | Q.Paired, mode: dates.DateRangeMode, page: dates.DateRange | None, today: datetime, as_of: datetime | None = None, earliest: datetime | None = None, densify: bool = True) -> Ok | Err:
-        """Check, resolve the range, project it into filters, load, execute. Ok holds one result or a pair."""
+    def run_payload(self, spark: SparkSession, payload: Q.Single | Q.Paired, mode: dates.DateRangeMode, page: dates.DateRange | None, today: datetime, as_of: datetime | None = None, earliest: datetime | None = None, densify: bool = True, cache: SnapshotCache | None = None) -> Ok | Err:
+        """Check, resolve the range, project it into filters, load, execute. Ok holds one result or a pair.
+
+        A cache (`snapshots`) shares loaded sources between both halves of a pair and between widgets.
+        """
+        load = cache.get if cache is not None else lambda source_id, bound: self.load(spark, source_id, bound)
 
         def work():
             check_payload(payload, self.sources, mode)
@@ -58,7 +67,7 @@ class Catalog:
             found = []
             for query in (payload.query,) if isinstance(payload, Q.Single) else (payload.x, payload.y):
                 projected = dates.project(query, mode, self.sources, page, today, earliest)
-                ran = projected.and_then(lambda q: execute(q, self.load(spark, q.source, bound), self.sources, as_of=as_of, date_range=bound, densify=densify))
+                ran = projected.and_then(lambda q: execute(q, load(q.source, bound), self.sources, as_of=as_of, date_range=bound, densify=densify))
                 if ran.is_err:
                     raise Failure(ran.error.kind, ran.error.message, ran.error.field)
                 found.append(ran.value)

@@ -309,3 +309,70 @@ def test_durations_from_intervals(spark):
     assert rows_of(execute(q, df, SOURCES).value) == [(1_500_000,)]
 
 
+
+
+# -- typed values, wide form, shared snapshots ----------------------------------------------------------------
+def test_buckets_and_keys(spark, sf_dir):
+    from quillboard.results import BucketKey
+    from quillboard.sources.catalog import TABLES, tables
+
+    orders = TABLES[1]
+    query = Q.Query("orders", (Q.Count(label="n"),), group_bys=(Q.FieldGroupBy(orders.ref("o_orderpriority")),))
+    result = tables(sf_dir).run(spark, query).value
+    found = result.collect()
+    assert [b.keys[0].value for b in found] == sorted(b.keys[0].value for b in found)
+    assert sum(b.values[0] for b in found) == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and not any(b.is_synthetic for b in found)
+    with pytest.raises(ValueError):
+        result.collect(most=2)
+    a, b, none = (BucketKey(FieldType.integer, x) for x in (1, 2, None))
+    assert a == BucketKey(FieldType.integer, 1) != BucketKey(FieldType.duration, 1)
+    assert (a.compare(b), b.compare(a), a.compare(a), a.compare(none), none.compare(b), none.compare(none)) == (-1, 1, 0, -1, 1, 0)
+    assert a.typed().value == 1 and none.typed().is_null
+    with pytest.raises(TypeError):
+        a.compare(BucketKey(FieldType.string, "1"))
+
+
+def test_pivot_tells_null_from_its_name(spark):
+    t = source("t", x=FieldType.string, s=FieldType.string)
+    df = spark.createDataFrame([("a", "null"), ("a", "null"), ("a", None), ("b", None), ("b", "x"), ("a", None), ("a", None)], "x string, s string")
+    query = Q.Query("t", (Q.Count(label="n"),), group_bys=(Q.FieldGroupBy(t.ref("x")), Q.FieldGroupBy(t.ref("s"))))
+    wide = execute(query, df, (t,)).value.pivot()
+    assert wide.columns == ["x", "null", "x_", "null_"]
+    assert [tuple(r) for r in wide.collect()] == [("a", 2, 0, 3), ("b", 0, 1, 1)]
+
+
+def test_both_halves_of_a_pair_share_a_snapshot(spark, sf_dir):
+    from datetime import datetime
+
+    from quillboard.functions import dates
+    from quillboard.functions import grain as G
+    from quillboard.sources.catalog import TABLES, tables
+
+    events = TABLES[0]
+    half = Q.Query("events", (Q.Count(),), group_bys=(Q.TimeGroupBy(events.ref("ts"), G.DAY),))
+    catalog, loads = tables(sf_dir), []
+    catalog.register(events, lambda s, bound: loads.append(bound) or s.read.parquet(f"{sf_dir}/events.parquet"))
+    cache = catalog.snapshots(spark, persist=False)
+    mode = dates.FixedOverride(dates.CustomRange(datetime(2024, 1, 5), datetime(2024, 1, 6)))
+    for _ in range(2):
+        assert catalog.run_payload(spark, Q.Paired(half, half), mode, None, datetime(2024, 2, 1), cache=cache).is_ok
+    assert len(loads) == 1
+
+
+def test_a_streak_takes_one_exchange_and_long_axes_stay_off_the_driver(spark, sf_dir):
+    from datetime import datetime
+
+    from quillboard.functions import dates
+    from quillboard.functions import grain as G
+    from quillboard.sources.catalog import TABLES, tables
+
+    events = TABLES[0]
+    streak = Q.Query("events", (Q.Streak(events.ref("user_id"), events.ref("ts"), events.ref("event_type"), "purchase"),))
+    plan = tables(sf_dir).run(spark, streak, as_of=datetime(2024, 1, 25)).value.frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    year = dates.Range(datetime(2024, 1, 1), datetime(2025, 1, 1))
+    line, n = G.SECOND.axis(spark, year.start, year.end, "t")
+    assert n == 366 * 86400 and len(line._jdf.queryExecution().logical().toString()) < 2000
+    for g in (G.HOUR, G.DAY, G.WEEK, G.MONTH, G.TimeGrain(1, G.TimeUnit.month, datetime(2000, 1, 31)), G.TimeGrain(7, G.TimeUnit.hour, datetime(2030, 5, 5, 3))):
+        line, n = g.axis(spark, datetime(2024, 1, 3, 5), datetime(2024, 5, 2), "t")
+        assert [r.t for r in line.orderBy("t").collect()] == sorted(g.starts(datetime(2024, 1, 3, 5), datetime(2024, 5, 2))) and n == line.count()
