@@ -126,6 +126,26 @@ SQL: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
+    "op8_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS g
+            FROM w),
+        k AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n, g, md5(array_to_string(g, chr(10))) AS key FROM s),
+        c AS (SELECT key, min(doc_id) AS rep, any_value(n) AS n, any_value(g) AS g FROM k WHERE n > 0 GROUP BY key),
+        e AS (SELECT rep, n, unnest(g) AS x FROM c),
+        l AS (
+            SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT DISTINCT a AS node, a AS reached FROM t UNION SELECT t.b, r.reached FROM r JOIN t ON t.a = r.node),
+        m AS (SELECT node, min(reached) AS least FROM r GROUP BY node)
+        SELECT k.doc_id, k.n AS n_shingles, coalesce(m.least, c.rep, k.doc_id) AS component_id,
+            k.doc_id = coalesce(m.least, c.rep, k.doc_id) AS kept
+        FROM k LEFT JOIN c ON k.n > 0 AND c.key = k.key LEFT JOIN m ON m.node = c.rep""",
     "op9_exact_dedup": """
         WITH g AS (
             SELECT coalesce(text, '') AS t, max(doc_id) AS keep_id, count(*) AS group_size

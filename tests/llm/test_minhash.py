@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from quillboard.llm import minhash
+from quillboard.llm import common, minhash
 from quillboard.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -83,7 +83,9 @@ def test_components_equal_brute_force(spark, size):
 
 def test_large_components_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "LARGE", 3)
+    monkeypatch.setattr(minhash, "LIST", 2)
     monkeypatch.setattr(minhash, "BLOCK_ELEMENTS", 300)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rng = random.Random(8)
     base = words(rng, 100)
     rows = [(i, " ".join(edited(rng, base, i % 8))) for i in range(60)]
