@@ -84,9 +84,11 @@ def join_hot(df: DataFrame, few: DataFrame, key: str, by: str | list[str], rows:
 def small_batches(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose values of one column (text, bytes or lists) take about `most_bytes`.
 
-    A single longer value is a slice of its own.
+    A single longer value is a slice of its own. Who iterates should drop a slice before the next: each keeps
+    its whole batch alive.
     """
-    for batch in batches:
+    batches = iter(batches)
+    while (batch := next(batches, None)) is not None:
         values = batch.column(column)
         if pa.types.is_list(values.type) or pa.types.is_large_list(values.type):
             sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False) * 8
@@ -99,6 +101,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, most_bytes: in
             stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch, values
 
 
 def release_memory() -> None:

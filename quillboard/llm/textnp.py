@@ -103,7 +103,10 @@ def map_texts(df: DataFrame, text_col: str, fields: list[T.StructField], start:
             if i % 16 == 15:
                 release_memory()
             found = score(batch.column(place).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(found, kinds, strict=True))], names=names)
+            columns = [*batch.columns[: len(keep)], *(x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(found, kinds, strict=True))]
+            del batch, found
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            del columns
         del score
         release_memory()
 

@@ -1,18 +1,24 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
-The pieces and log scores come from a public model file (read on the driver, never copied or trained).
+The pieces come from a public model file (read on the driver, never copied; no tokenizer is trained). A
+unigram model's log scores are taken as they are. A merge model (BPE) holds places in its merge order
+instead of scores; there, piece of place r has the log probability of Zipf's law, -log(r) - log(H), H the
+harmonic number of all places: frequent pieces are merged first, and the law needs no training.
+
 A text gets a dummy prefix, spaces become the marker U+2581, and the segmentation of the highest total
 score wins; where scores tie, the longer last piece does. A character that no piece begins with costs
-`min score - 10` and is spelled in byte pieces. Decoding joins pieces, turns byte runs into text, markers
-into spaces, and drops the dummy prefix: decode(encode(x)) = x for every text without U+2581. Each U+2581
-of a text comes back as a space, as the model knows no other marker.
+`min score - 10` and is spelled in byte pieces, and so is a marker that the text itself holds: the C++
+library makes it a space, here decode(encode(x)) = x for every text. Decoding joins pieces, markers as
+spaces, turns byte runs into text, and drops the dummy prefix.
 
 No piece has a marker behind another character, so the best segmentation of a text is that of its
-words, each with the markers before it; only a piece that starts with a marker can follow a word. Texts
-are cut there, every distinct word of a batch is solved once, all words together, position by position
-in numpy, and remembered up to `REMEMBER` words. Words beyond LONG characters are solved one by one with
-a rolling window, in time proportional to their length. Scores add in double precision (the C++ library
-adds in single precision, where long texts may round ties another way).
+words, each with the markers before it; only a piece that starts with a marker can follow a word. Where no
+piece holds a line end, words end there too. Texts are cut there, every distinct word of a batch is solved and decoded once, all words together, position by
+position in numpy, and remembered up to `REMEMBER` words. A word's byte runs hold whole characters, so a
+text decodes to its decoded words in a row: that is what `round_trip` compares with the text. Words
+beyond LONG characters are solved one by one with a rolling window, in time proportional to their
+length; long texts are taken in pieces that divide no word. Scores add in double precision (the C++
+library adds in single precision, where long texts may round ties another way).
 
 The trie is built on the driver and broadcast: its size depends on the vocabulary alone.
 
@@ -22,19 +28,24 @@ Repeated rows encode alike; extra columns are carried; columns named like the ne
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quillboard.llm.textnp import code_points, map_texts
+from quillboard.llm.textnp import PIECE_CHARS, code_points, map_texts
 
 MARK = "▁"
+#: What stands for a marker of the text itself, before a word that has no marker before it, and for a line
+#: end that is a word of its own: lone surrogates, which no text holds.
+LITERAL, BARE, LINE = "\ud800", "\ud801", "\ud802"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-REMEMBER = 40_000
+REMEMBER = 120_000
 LONG = 256
 UNKNOWN_PENALTY = 10.0
 #: Places of the trie that its construction looks through at once.
@@ -69,12 +80,12 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-def read_model(path: str) -> tuple[list[str], list[float], list[int], bool]:
-    """(pieces, scores, types, add dummy prefix) of a SentencePiece model file.
+def read_model(path: str) -> tuple[list[str], list[float], list[int], bool, bool]:
+    """(pieces, scores, types, add dummy prefix, is a unigram model) of a SentencePiece model file.
 
     Only models that keep text as it is (identity normaliser, all blanks kept, blanks escaped) are taken.
     """
-    pieces, scores, kinds, prefix = [], [], [], True
+    pieces, scores, kinds, prefix, unigram = [], [], [], True, True
     with open(path, "rb") as f:
         data = f.read()
     for field, value in _fields(data):
@@ -90,12 +101,14 @@ def read_model(path: str) -> tuple[list[str], list[float], list[int], bool]:
             pieces.append(piece)
             scores.append(score)
             kinds.append(kind)
+        elif field == 2:
+            unigram = dict(_fields(value)).get(3, 1) == 1
         elif field == 3:
             norm = dict(_fields(value))
             prefix = bool(norm.get(3, 1))
             if norm.get(2) or norm.get(4, 1) or not norm.get(5, 1):
                 raise ValueError("the model normalises text; only identity models are supported")
-    return pieces, scores, kinds, prefix
+    return pieces, scores, kinds, prefix, unigram
 
 
 @dataclass
@@ -113,10 +126,19 @@ class Unigram:
     prefix: bool
 
 
+def zipf(merge_scores: np.ndarray) -> np.ndarray:
+    """Log probabilities by Zipf's law of pieces whose scores fall with their place in the merge order."""
+    place = np.empty(len(merge_scores))
+    place[np.argsort(-merge_scores, kind="stable")] = np.arange(1, len(merge_scores) + 1)
+    return -np.log(place) - np.log((1 / place).sum())
+
+
 def build(path: str) -> Unigram:
-    pieces, scores, kinds, prefix = read_model(path)
+    pieces, scores, kinds, prefix, unigram = read_model(path)
     normal = [i for i, k in enumerate(kinds) if k == NORMAL]
     values = np.array(scores, dtype=np.float64)
+    if not unigram:
+        values[normal] = zipf(values[normal])
     byte_ids = np.full(256, -1, dtype=np.int32)
     for i, k in enumerate(kinds):
         if k == BYTE:
@@ -308,119 +330,177 @@ def _trace(model: Unigram, codes: np.ndarray, back_len: np.ndarray, back_id: np.
         if pieces[at] >= 0:
             ids.append(pieces[at])
         else:
-            ids.extend(model.byte_ids[list(chr(codes[at - 1]).encode("utf-8", "surrogatepass"))][::-1].tolist())
+            char = chr(codes[at - 1])
+            ids.extend(model.byte_ids[list((MARK if char == LITERAL else char).encode("utf-8", "surrogatepass"))][::-1].tolist())
         at -= lens[at]
     return np.array(ids[::-1], dtype=np.int32).tobytes()
 
 
 def _solve_long(model: Unigram, word: str) -> bytes:
-    """One long word: the same recursion over its places."""
+    """One long word: the same recursion over its places, STRETCH places at a time."""
     codes = code_points(word)
-    n = len(codes)
-    start, length, piece = matches(model, _symbols(model, codes), np.full(n, n))
-    order = np.lexsort((length, start))
-    start, length, piece = start[order].tolist(), length[order].tolist(), piece[order].tolist()
-    best, back_len, back_id = [0.0] + [-np.inf] * n, np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
-    score, j = model.score, 0
-    for t in range(n):
-        here, single = best[t], False
-        while j < len(start) and start[j] == t:
-            end, value = t + length[j], here + score[piece[j]]
-            single |= length[j] == 1
-            if value > best[end]:
-                best[end], back_len[end], back_id[end] = value, length[j], piece[j]
-            j += 1
-        if not single and here + model.unknown > best[t + 1]:
-            best[t + 1], back_len[t + 1], back_id[t + 1] = here + model.unknown, 1, -1
+    n, score = len(codes), model.score
+    symbols = _symbols(model, codes)
+    back_len, back_id = np.zeros(n + 1, np.int32), np.full(n + 1, -1, np.int32)
+    ahead = [0.0] + [-np.inf] * (STRETCH + model.longest)  # best scores from place `a` on
+    for a in range(0, n, STRETCH):
+        z = min(n, a + STRETCH)
+        end = min(n, z + model.longest)
+        start, length, piece = matches(model, symbols[a:end], np.full(end - a, end - a))
+        mine = np.flatnonzero(start < z - a)
+        order = mine[np.lexsort((length[mine], start[mine]))]
+        start, length, piece, j = start[order].tolist(), length[order].tolist(), piece[order].tolist(), 0
+        for t in range(z - a):
+            here, single = ahead[t], False
+            while j < len(start) and start[j] == t:
+                to, value = t + length[j], here + score[piece[j]]
+                single |= length[j] == 1
+                if value > ahead[to]:
+                    ahead[to], back_len[a + to], back_id[a + to] = value, length[j], piece[j]
+                j += 1
+            if not single and here + model.unknown > ahead[t + 1]:
+                ahead[t + 1], back_len[a + t + 1], back_id[a + t + 1] = here + model.unknown, 1, -1
+        ahead = ahead[z - a :] + [-np.inf] * (z - a)
     return _trace(model, codes, back_len, back_id, n)
 
 
-def split_words(text: str, prefix: bool) -> list[str]:
-    """Words of a text, each with the blanks (markers once joined with MARK) before it, in order."""
-    text = text.replace(" ", MARK)
+def split_words(text: str, prefix: bool, lines: bool = False) -> list[str]:
+    """Names of a text's words, in order: without the marker before them, further blanks before it as MARK.
+
+    A word without a marker before it (the first, where the model adds no prefix) starts with BARE. lines:
+    no piece holds a line end, so words may be divided there, which leaves fewer different ones.
+    """
+    if MARK in text:
+        text = text.replace(MARK, LITERAL)
     if prefix:
-        text = MARK + text
-    parts = text.split(MARK)
-    words = [parts[0]] if parts[0] else []
-    run = 0
-    for part in parts[1:]:
-        run += 1
+        parts = (text.replace("\n", f" {LINE} {BARE}") if lines else text).split(" ")
+        if "" not in parts:
+            return parts
+    parts, words = text.split(" "), []
+    run = 1 if prefix else 0
+    for part in parts:
         if part:
-            words.append(MARK * run + part)
+            words.append(MARK * (run - 1) + part if run else BARE + part)
             run = 0
-    if run:
-        words.append(MARK * run)
+        run += 1
+    if not parts[-1] and run > 1:
+        words.append(MARK * (run - 2))
     return words
 
 
+def text_pieces(text: str) -> Iterator[str]:
+    """Pieces of a long text, cut at the first blank behind a word; that blank is in neither."""
+    start = 0
+    while len(text) - start > PIECE_CHARS:
+        cut = text.find(" ", start + PIECE_CHARS)
+        if cut < 0 or text[cut - 1] == " " or cut + 1 >= len(text):
+            cut = next((m.start() + 1 for m in AFTER_WORD.finditer(text, start + PIECE_CHARS)), -1)
+            if cut < 0 or cut + 1 >= len(text):
+                break
+        yield text[start:cut]
+        start = cut + 1
+    yield text[start:] if start else text
+
+
+AFTER_WORD = re.compile("[^ ] ")
+
+
 class Coder:
     """Encodes and decodes texts; remembers the words it has solved."""
 
     def __init__(self, model: Unigram):
         self.model = model
-        self.words: dict[str, bytes] = {}
-        self.surface = ["" if k == CONTROL else p for p, k in zip(model.pieces, model.kinds, strict=True)]
+        self.surface = ["" if k == CONTROL else p.replace(MARK, " ") for p, k in zip(model.pieces, model.kinds, strict=True)]
         self.is_byte = np.zeros(len(model.pieces), dtype=bool)
         self.is_byte[model.byte_ids] = True
         self.byte_value = np.zeros(len(model.pieces), dtype=np.uint8)
         self.byte_value[model.byte_ids] = np.arange(256)
+        self.lines = len(model.alphabet) <= 10 or model.alphabet[10] == 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids, self.said = {BARE: b"", LINE: self.model.byte_ids[[10]].astype(np.int32).tobytes()}, {BARE: "", LINE: "\n"}
+
+    def code(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Piece ids of each text, as the bytes of an int32 array, and whether they decode to it."""
+        found = []
+        if len(self.ids) > REMEMBER:
+            self._forget()
+        split = [[] if not t else split_words(t, self.model.prefix, self.lines) for t in texts]
+        new = [w for w in set().union(*split) if w not in self.ids]
+        words = [w[1:] if w[:1] == BARE else MARK + w for w in new]
+        solved = viterbi(self.model, words)
+        self.ids.update(zip(new, solved, strict=True))
+        self.said.update(zip(new, self._said(solved), strict=True))
+        ids, said, skip = self.ids, self.said, int(self.model.prefix)
+        for text, names in zip(texts, split, strict=True):
+            found.append((b"".join([ids[w] for w in names]), "".join([said[w] for w in names])[skip:] == text))
+        return found
+
+    def code_long(self, text: str) -> tuple[bytes, bool]:
+        """The same, piece by piece."""
+        if len(text) <= PIECE_CHARS or not self.model.prefix:  # each piece of a text gets the blank before it as its prefix
+            return self.code([text])[0]
+        parts = [self.code([part])[0] for part in text_pieces(text)]
+        return b"".join([x for x, _ in parts]), all(same for _, same in parts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
-        split = [None if t is None else split_words(t, self.model.prefix) if t else [] for t in texts]
-        if len(self.words) > REMEMBER:
-            self.words.clear()
-        known = self.words
-        new = list({w for words in split if words for w in words if w not in known})
-        for w, ids in zip(new, viterbi(self.model, new), strict=True):
-            known[w] = ids
-        return [None if words is None else np.frombuffer(b"".join([known[w] for w in words]), dtype=np.int32) for words in split]
+        return [None if t is None else np.frombuffer(self.code_long(t)[0], dtype=np.int32) for t in texts]
+
+    def _said(self, solved: list[bytes]) -> list[str]:
+        """What each row of piece ids decodes to."""
+        flat = np.frombuffer(b"".join(solved), dtype=np.int32)
+        many = np.array([len(x) // 4 for x in solved], dtype=np.int64)
+        ends = np.cumsum(many)
+        first, spelled = ends - many, np.concatenate([[0], np.cumsum(self.is_byte[flat])])
+        mixed = (spelled[ends] > spelled[first]).tolist()
+        surface, join = self.surface, "".join
+        parts = [surface[i] for i in flat.tolist()]
+        return [self._spelled(flat[a:z]) if odd else join(parts[a:z]) for a, z, odd in zip(first.tolist(), ends.tolist(), mixed, strict=True)]
+
+    def _spelled(self, ids: np.ndarray) -> str:
+        """The same for ids of which some are bytes."""
+        parts, done, at = [], 0, np.flatnonzero(self.is_byte[ids])
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            parts.extend(self.surface[i] for i in ids[done : run[0]].tolist())
+            parts.append(self.byte_value[ids[run]].tobytes().decode("utf-8", "replace"))
+            done = run[-1] + 1
+        parts.extend(self.surface[i] for i in ids[done:].tolist())
+        return "".join(parts)
 
     def decode(self, ids: np.ndarray) -> str:
-        surface = self.surface
-        at = np.flatnonzero(self.is_byte[ids])
-        if len(at):
-            parts, done = [], 0
-            cuts = np.flatnonzero(np.diff(at) > 1) + 1
-            for run in np.split(at, cuts):
-                parts.extend(surface[i] for i in ids[done : run[0]].tolist())
-                parts.append(self.byte_value[ids[run]].tobytes().decode("utf-8", "replace"))
-                done = run[-1] + 1
-            parts.extend(surface[i] for i in ids[done:].tolist())
-        else:
-            parts = [surface[i] for i in ids.tolist()]
-        text = "".join(parts).replace(MARK, " ")
+        """The text of any piece ids."""
+        text = self._said([ids.astype(np.int32).tobytes()])[0]
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
 
 def encode_column(df: DataFrame, model: Unigram, text_col: str = "text", batch_chars: int = 1 << 18) -> DataFrame:
-    """`df` with ids (int array), n_tokens, n_byte_tokens, round_trip (does decoding give `round_trip_form` of it back)."""
+    """`df` with ids (int array), n_tokens, n_byte_tokens, round_trip (does decoding give the text back)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def start():
         coder = Coder(shared.value)
 
-        def score(texts: list[str | None]) -> list[list]:
-            ids, n, n_bytes, same = [], [], [], []
+        def score(texts: list[str | None]) -> list:
+            found: list[tuple[bytes, bool]] = []
             first = 0
             while first < len(texts):
                 size, stop = 0, first
                 while stop < len(texts) and (stop == first or size < batch_chars):
                     size += len(texts[stop] or "")
                     stop += 1
-                for text, found in zip(texts[first:stop], coder.encode(texts[first:stop]), strict=True):
-                    ids.append(found)
-                    n.append(None if found is None else len(found))
-                    n_bytes.append(None if found is None else int(coder.is_byte[found].sum()))
-                    same.append(None if found is None else coder.decode(found) == round_trip_form(text))
+                some = [t or "" for t in texts[first:stop]]
+                found += [coder.code_long(some[0])] if len(some) == 1 else coder.code(some)
                 first = stop
-            return [ids, n, n_bytes, same]
+            missing = np.array([t is None for t in texts], dtype=bool)
+            flat = np.frombuffer(b"".join([x for x, _ in found]), dtype=np.int32)
+            many = np.array([len(x) // 4 for x, _ in found], dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(many)])
+            spelled = np.concatenate([[0], np.cumsum(coder.is_byte[flat])])[ends]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat), type=pa.list_(pa.field("element", pa.int32(), False)), mask=pa.array(missing))
+            return [lists, pa.array(many, mask=missing), pa.array(np.diff(spelled), mask=missing), pa.array(np.array([same for _, same in found], dtype=bool), mask=missing)]
 
         return score
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("n_byte_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())]
     return map_texts(df, text_col, fields, start)
-
-
-def round_trip_form(text: str) -> str:
-    """What decoding gives: the text itself, but for the marker character, which stands for a space."""
-    return text.replace(MARK, " ")
