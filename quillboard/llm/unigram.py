@@ -15,7 +15,7 @@ No piece has a marker behind another character, so the best segmentation of a te
 words, each with the markers before it; only a piece that starts with a marker can follow a word. Where no
 piece holds a line end, words end there too. Texts are cut there, every distinct word of a batch is solved and decoded once, all words together, position by
 position in numpy, and remembered up to `REMEMBER` words. A word's byte runs hold whole characters, so a
-text decodes to its decoded words in a row: that is what `round_trip` compares with the text. Words
+text decodes to its decoded words in a row: `round_trip` tells whether each of them is the word. Words
 beyond LONG characters are solved one by one with a rolling window, in time proportional to their
 length; long texts are taken in pieces that divide no word. Scores add in double precision (the C++
 library adds in single precision, where long texts may round ties another way).
@@ -45,7 +45,7 @@ MARK = "▁"
 #: end that is a word of its own: lone surrogates, which no text holds.
 LITERAL, BARE, LINE = "\ud800", "\ud801", "\ud802"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-REMEMBER = 120_000
+REMEMBER = 300_000
 LONG = 256
 UNKNOWN_PENALTY = 10.0
 #: Places of the trie that its construction looks through at once.
@@ -419,11 +419,11 @@ class Coder:
         self._forget()
 
     def _forget(self) -> None:
-        self.ids, self.said = {BARE: b"", LINE: self.model.byte_ids[[10]].astype(np.int32).tobytes()}, {BARE: "", LINE: "\n"}
+        self.ids = {BARE: b"", LINE: self.model.byte_ids[[10]].astype(np.int32).tobytes()}
+        self.lost: set[str] = set()  # words that do not decode to themselves
 
     def code(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Piece ids of each text, as the bytes of an int32 array, and whether they decode to it."""
-        found = []
         if len(self.ids) > REMEMBER:
             self._forget()
         split = [[] if not t else split_words(t, self.model.prefix, self.lines) for t in texts]
@@ -431,11 +431,9 @@ class Coder:
         words = [w[1:] if w[:1] == BARE else MARK + w for w in new]
         solved = viterbi(self.model, words)
         self.ids.update(zip(new, solved, strict=True))
-        self.said.update(zip(new, self._said(solved), strict=True))
-        ids, said, skip = self.ids, self.said, int(self.model.prefix)
-        for text, names in zip(texts, split, strict=True):
-            found.append((b"".join([ids[w] for w in names]), "".join([said[w] for w in names])[skip:] == text))
-        return found
+        self.lost.update(name for name, word, said in zip(new, words, self._said(solved), strict=True) if said != word.replace(MARK, " ").replace(LITERAL, MARK))
+        ids, lost = self.ids, self.lost
+        return [(b"".join([ids[w] for w in names]), lost.isdisjoint(names) if lost else True) for names in split]
 
     def code_long(self, text: str) -> tuple[bytes, bool]:
         """The same, piece by piece."""
