@@ -66,11 +66,19 @@ def aggregate(m: Q.Measure, source: SourceDef) -> Column:
     if kind is Q.Aggregate.average:
         return F.expr(f"sum(`{m.field.field_id}`) div nullif(count(`{m.field.field_id}`), 0)") if span else F.avg(column)
     if kind is Q.Aggregate.percentile:
-        exact = F.percentile(column, m.aggregation.p)
-        return F.round(exact).cast("bigint") if span else exact
+        return percentile_value(F.percentile(column, m.aggregation.p), m, source)
     return {Q.Aggregate.min: F.min, Q.Aggregate.max: F.max, Q.Aggregate.distinctCount: F.count_distinct}[kind](column)
 
 
+def is_percentile(m: Q.Measure) -> bool:
+    return not isinstance(m, Q.Count) and m.aggregation.kind is Q.Aggregate.percentile
+
+
+def percentile_value(exact: Column, m: Q.Measure, source: SourceDef) -> Column:
+    """An interpolated number as a value of the measure's type."""
+    return F.round(exact).cast("bigint") if source.field(m.field.field_id).field_type is FieldType.duration else exact
+
+
 def half_away(x: float) -> int:
     return int(math.copysign(math.floor(abs(x) + 0.5), x))
 

@@ -33,10 +33,10 @@ def apply(series: Result, op: Q.DerivedOp) -> Ok | Err:
         check_derived(op)
         if measure.field_type not in NUMERIC:
             raise Failure(ErrorKind.derivedOpRequiresNumericMeasure, "derived operations need numbers")
-        frame = series.positioned()
-        column = D.derive(measure.label, op, measure.field_type, [F.asc(POS)])
+        frame = D.derive(series.positioned(), measure.label, op, measure.field_type, [F.asc(POS)], "__derived", False)
+        frame = frame.withColumn(measure.label, F.col("__derived")).drop("__derived")
         changed = replace(measure, field_type=D.output_type(op, measure.field_type))
-        return replace(series, frame=frame.withColumn(measure.label, column), columns=(series.columns[0], changed), order=(F.asc(POS),))
+        return replace(series, frame=frame, columns=(series.columns[0], changed), order=(F.asc(POS),))
 
     return attempt(work)
 

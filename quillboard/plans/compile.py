@@ -8,15 +8,18 @@ the grid, so that a synthetic cell holds the value that they have over no rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillboard.errors import Err, ErrorKind, Failure, Ok, attempt
 from quillboard.functions.dates import Range
+from quillboard.functions.grain import DAYS, MICROS, MONTHS
 from quillboard.operators import aggregate as A
 from quillboard.operators import derived as D
+from quillboard.operators import prefix as P
 from quillboard.operators import streak as S
 from quillboard.operators.densify import SYNTHETIC, Axis, fill
 from quillboard.plans import spec as Q
@@ -60,7 +63,6 @@ def build(query: Q.Query, df: DataFrame, sources: Sequence[SourceDef], as_of: da
         return _streak(query.measures[0], rows, source, as_of, input_order)
     leaves = {A.leaf_key(leaf): leaf for m in query.measures for leaf in A.leaves(m)}
     names = {key: f"__l{i}" for i, key in enumerate(leaves)}
-    aggregates = [A.aggregate(leaf, source).alias(names[key]) for key, leaf in leaves.items()]
     rows = rows.where(A.all_of(query.filters)) if query.filters else rows
     labels = Q.measure_labels(query.measures)
     types = [m.output(source) for m in query.measures]
@@ -68,10 +70,10 @@ def build(query: Q.Query, df: DataFrame, sources: Sequence[SourceDef], as_of: da
     columns = [ResultColumn(label, t, False) for label, t in zip(labels, types, strict=True)]
     shape = Q.shape_of(query)
     if not query.group_bys:
-        return Result(shape, rows.agg(*aggregates).select(*measured), tuple(columns))
+        return Result(shape, _aggregated(rows, {}, leaves, names, source).select(*measured), tuple(columns))
 
     keys = [f"__k{i}" for i in range(len(query.group_bys))]
-    grouped = rows.groupBy(*[_key(g).alias(k) for g, k in zip(query.group_bys, keys, strict=True)]).agg(*aggregates)
+    grouped = _aggregated(rows, {k: _key(g) for g, k in zip(query.group_bys, keys, strict=True)}, leaves, names, source)
     if densify:
         axis = next((Axis(i, g.grain, date_range.start, date_range.end) for i, g in enumerate(query.group_bys) if isinstance(g, Q.TimeGroupBy)), None) if date_range else None
         grid = fill(grouped, keys, {names[key]: A.zero(leaf, source) for key, leaf in leaves.items()}, axis)
@@ -91,7 +93,8 @@ def build(query: Q.Query, df: DataFrame, sources: Sequence[SourceDef], as_of: da
         kind = "temporal" if isinstance(query.group_bys[0], Q.TimeGroupBy) else "categorical"
     if query.derived.kind is not Q.Derive.none:
         t = D.output_type(query.derived, types[0])
-        out = out.withColumn("__derived", D.derive(labels[0], query.derived, types[0], order)).withColumn("__before", F.col(f"`{labels[0]}`"))
+        out = D.derive(out, labels[0], query.derived, types[0], order, "__derived", _short(query, date_range if densify else None))
+        out = out.withColumn("__before", F.col(f"`{labels[0]}`"))
         out = out.withColumn(labels[0], F.col("__derived"))
         if isinstance(query.sort and query.sort.target, Q.ByMeasure):  # the order is that of the values before
             order = _order(query, ["__before"])
@@ -99,6 +102,46 @@ def build(query: Q.Query, df: DataFrame, sources: Sequence[SourceDef], as_of: da
     return Result(shape, out, (*key_columns, *columns), tuple(order), kind)
 
 
+def _aggregated(rows: DataFrame, keys: dict[str, Column], leaves: dict[tuple, Q.Measure], names: dict[tuple, str], source: SourceDef) -> DataFrame:
+    """The leaves over the rows of each combination of keys: one aggregation.
+
+    Percentiles of a source that is not known to be small are taken apart, by ranks, as a buffer would have to
+    hold all distinct values of a group.
+    """
+    apart = {key: leaf for key, leaf in leaves.items() if A.is_percentile(leaf)}
+    if apart and P.small(rows):
+        apart = {}
+    plain = [A.aggregate(leaf, source).alias(names[key]) for key, leaf in leaves.items() if key not in apart]
+    found = rows.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*(plain or [F.count(F.lit(1)).alias("__n")]))
+    for field_id in dict.fromkeys(leaf.field.field_id for leaf in apart.values()):
+        mine = {key: leaf for key, leaf in apart.items() if leaf.field.field_id == field_id}
+        values = rows.select(*[c.alias(k) for k, c in keys.items()], F.col(f"`{field_id}`").alias("__value"))
+        ranked = P.percentiles(values, list(keys), "__value", {names[key]: leaf.aggregation.p for key, leaf in mine.items()})
+        ranked = ranked.select(*[F.col(k).alias(f"{k}_p") for k in keys], *[A.percentile_value(F.col(names[key]), leaf, source).alias(names[key]) for key, leaf in mine.items()])
+        if keys:
+            match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_p")) for k in keys])
+            found = found.join(ranked, match, "left").drop(*[f"{k}_p" for k in keys])
+        else:
+            found = found.crossJoin(ranked)  # one row each
+    return found
+
+
+#: Buckets of a series up to which one window takes it.
+SHORT = 4_000_000
+
+
+def _short(query: Q.Query, date_range: Range | None) -> bool:
+    """Is the number of buckets bounded beforehand: by a limit, a range, or a grain of a day or more?"""
+    if query.limit is not None and query.limit <= SHORT:
+        return True
+    g = query.group_bys[0]
+    if not isinstance(g, Q.TimeGroupBy):
+        return False
+    if g.grain.unit in DAYS or g.grain.unit in MONTHS:
+        return True  # 9,999 years have 3.7 million days
+    return date_range is not None and (date_range.end - date_range.start) // (g.grain.count * MICROS[g.grain.unit] * timedelta(microseconds=1)) < SHORT
+
+
 def _key(g: Q.GroupBy) -> Column:
     column = F.col(f"`{g.field.field_id}`")
     return g.grain.column(column) if isinstance(g, Q.TimeGroupBy) else column

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillboard.operators.densify import SYNTHETIC
+from quillboard.operators.prefix import placed as place_rows
 from quillboard.plans.spec import Shape
 from quillboard.schema import FieldType, Value
 
@@ -151,8 +152,4 @@ class Result:
 
     def positioned(self) -> DataFrame:
         """The frame with its rows' place in the order, from 1."""
-        from pyspark.sql.window import Window
-
-        if POS in self.frame.columns:
-            return self.frame
-        return self.frame.withColumn(POS, F.row_number().over(Window.orderBy(*self.order)))
+        return self.frame if POS in self.frame.columns else place_rows(self.frame, list(self.order), POS, len(self.keys) > 1)
