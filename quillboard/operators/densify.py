@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillboard.functions.grain import TimeGrain
+from quillboard.operators.prefix import small
 
 SYNTHETIC = "is_synthetic"
 _HIT = "__hit"
@@ -46,17 +47,34 @@ def fill(df: DataFrame, keys: list[str], zeros: dict[str, Column | None], axis:
         joined = observed.join(line, F.col(keys[0]) == F.col("__axis"), "full").where(F.col("__axis").isNotNull() | F.col(keys[0]).isNull())
         grid = joined.withColumn(keys[0], F.coalesce(keys[0], "__axis")).drop("__axis")
     else:
-        # the test is always true; it keeps all aggregates alive, so that the axes reuse the same exchange
-        alive = F.size(F.array(*[F.col(c).cast("string") for c in df.columns])) >= 0
-        axes = []
-        for i, key in enumerate(keys):
-            seen = df.where(alive).select(key).distinct()
-            if axis is not None and i == axis.place:
-                seen = axis.rows(df.sparkSession, key).unionByName(seen.where(F.col(key).isNull()))
-            axes.append(seen.withColumnRenamed(key, f"__axis{i}"))
-        cells = reduce(lambda a, b: a.crossJoin(b), axes)
+        few = small(df)
+        cells = _listed(df, keys) if axis is None and few else _crossed(df, keys, axis)
         match = reduce(lambda a, b: a & b, [F.col(f"__axis{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)])
-        joined = cells.join(observed, match, "left")
+        joined = cells.join(F.broadcast(observed) if few else observed, match, "left")
         grid = joined.select(*[F.col(f"__axis{i}").alias(k) for i, k in enumerate(keys)], *zeros, _HIT)
     filled = {name: F.coalesce(F.col(name), z) for name, z in zeros.items() if z is not None}
     return grid.withColumns({**filled, SYNTHETIC: F.col(_HIT).isNull()}).drop(_HIT)
+
+
+def _alive(df: DataFrame) -> Column:
+    """Always true; it keeps all aggregates alive, so that the axes reuse the same exchange."""
+    return F.size(F.array(*[F.col(c).cast("string") for c in df.columns])) >= 0
+
+
+def _listed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """All combinations of the observed keys of a small source, null keys too: one row of key sets, unfolded."""
+    cells = df.where(_alive(df)).agg(*[F.collect_set(F.struct(k)).alias(f"__axis{i}") for i, k in enumerate(keys)])
+    for i, k in enumerate(keys):
+        cells = cells.withColumn(f"__axis{i}", F.explode(f"__axis{i}")).withColumn(f"__axis{i}", F.col(f"__axis{i}")[k])
+    return cells
+
+
+def _crossed(df: DataFrame, keys: list[str], axis: Axis | None) -> DataFrame:
+    """The same for any number of keys, and for a time axis."""
+    axes = []
+    for i, key in enumerate(keys):
+        seen = df.where(_alive(df)).select(key).distinct()
+        if axis is not None and i == axis.place:
+            seen = axis.rows(df.sparkSession, key).unionByName(seen.where(F.col(key).isNull()))
+        axes.append(seen.withColumnRenamed(key, f"__axis{i}"))
+    return reduce(lambda a, b: a.crossJoin(b), axes)
